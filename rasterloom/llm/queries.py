@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, sharding, simhash
+from . import decontam, lm, sharding, simhash, substring
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op4_substring": substring.query,
     "op7_decontamination": decontam.query,
     "op8_simhash": simhash.query,
+    "op10_lm": lm.query,
 }
 ORACLES = {
     "op7_decontamination": decontam.ORACLE,
