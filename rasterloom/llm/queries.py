@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, sharding, simhash, substring
+from . import decontam, lm, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op3_toxicity": toxicity.query,
     "op4_substring": substring.query,
     "op7_decontamination": decontam.query,
     "op8_simhash": simhash.query,
