@@ -24,8 +24,6 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW, GRAM = 35, 8
-#: Runs that may be broadcast to the texts (about 40 bytes each); more are joined by a shuffle.
-BROADCAST_RUNS = 500_000
 PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -81,11 +79,7 @@ def _keyed(docs: DataFrame, extra: list[str]) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), tkey.alias("tkey"), "text", *extra)
 
 
-def _near(docs: DataFrame, side: DataFrame, rows: int, how: str) -> DataFrame:
-    return docs.join(F.broadcast(side) if rows <= BROADCAST_RUNS else side, ["did", "tkey"], how)
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, int]:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(did, tkey, marks): for each document with repeats its runs as start * 32 + windows, and a mask of the repeated windows."""
 
     def seed(batches):
@@ -99,15 +93,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
 
     keyed = _keyed(docs, [])
     seeds = common.written(keyed.mapInArrow(seed, "did long, place long, anchor long, digest long"))
-    often = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # keys to join are written first: a join of two plain exchanges is one whose hot keys Spark can split
+    often = common.written(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     met = common.written(seeds.join(often, "anchor"))
     kinds = common.written(met.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("did", "place")).alias("one")))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    several = common.written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"))
     edges = common.written(kinds.join(several, "anchor").select("anchor", "digest", "n", "one.did", "one.place"))
-    n_edges = edges.count()
 
     todo = edges.groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(F.collect_list(F.struct("place", "anchor", "digest")).alias("todo"))
-    there = _near(keyed, todo, n_edges, "inner")
+    there = keyed.join(todo, ["did", "tkey"])
 
     def extend(batches):
         winnow = Winnow(window, gram)
@@ -126,14 +120,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
 
     # rows repeated in the table extend the same run again; the mask below is of distinct (anchor, digest, j)
     wide = common.written(there.mapInArrow(extend, "anchor long, digest long, j long, window long").distinct())
-    twice = wide.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
+    twice = common.written(wide.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window"))
     partly = wide.join(twice, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1L, cast(j as int))")).alias("mask"))
     whole = kinds.filter("n > 1").select("anchor", "digest", F.expr("shiftleft(1L, cast(one.place & 31 as int)) - 1").alias("mask"))
-    masks = whole.unionAll(partly.join(edges.filter("n = 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi"))
+    masks = common.written(whole.unionAll(partly.join(edges.filter("n = 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")))
     marked = met.join(masks, ["anchor", "digest"])
     marks = F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("run"), "mask")).alias("marks")
-    found = common.written(marked.distinct().groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(marks))
-    return found, found.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("n")).first()["n"]
+    return marked.distinct().groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(marks)
 
 
 def covered(n_words: int, runs: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -150,8 +143,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     """docs with n_words, n_removed, and kept (the words left, joined by one space) or with digest=True kept_sha256 instead;
     spans are the removed runs of words, [first, end)."""
     extra = ["doc_id", *[c for c in docs.columns if c not in ("doc_id", "text", "did", "tkey", "n_words", "n_removed", "kept", "kept_sha256", "spans", "marks")]]
-    marks, n = repeats(docs, window, gram)
-    joined = _near(_keyed(docs, extra), marks, n, "left").drop("did", "tkey")
+    joined = _keyed(docs, extra).join(common.written(repeats(docs, window, gram)), ["did", "tkey"], "left").drop("did", "tkey")
     schema = joined.select(*extra).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256" if digest else "kept", "string").add("spans", T.ArrayType(T.ArrayType(T.LongType())))
 
     def cut(batches):
