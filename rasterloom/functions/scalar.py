@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Multipliers of the four-point lifting transform (eight fractional bits), of its even and its odd pair.
 EVEN, ODD, TRANSFORM_SHIFT = (106, -181), (51, -98), 8
@@ -36,7 +37,7 @@ def periodic(base: Column, sx: Column, sy: Column, period: Column, x: Column, y:
     return F.pmod(base + sx * F.pmod(x, period) + sy * F.pmod(y, period), F.lit(top + 1))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def noise(seed: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Top byte of a seeded hash of a coordinate; products wrap at 64 bits, which the session's checked arithmetic would refuse."""
     u = lambda s: s.to_numpy(np.int64).view(np.uint64)

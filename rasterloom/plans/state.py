@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import state
 from .adapters import LOG, log
 
-E, K = F.col("event_id"), F.col("k")
+
+def _e():
+    return F.col("event_id")
+
+
+def _k():
+    return F.col("k")
 
 
 def _op(mapping: dict[str, str]):
@@ -18,7 +24,7 @@ def _op(mapping: dict[str, str]):
 
 
 def positions(spark, sf_dir):
-    rows = log(spark, sf_dir).select("stream_id", "t", _op({"click": "place", "purchase": "velocity", "view": "advance"}).alias("op"), (E % 64).alias("px"), (K % 48).cast("long").alias("py"), (K % 5 - 2).cast("long").alias("pvx"), (E % 5 - 2).alias("pvy"))
+    rows = log(spark, sf_dir).select("stream_id", "t", _op({"click": "place", "purchase": "velocity", "view": "advance"}).alias("op"), (_e() % 64).alias("px"), (_k() % 48).cast("long").alias("py"), (_k() % 5 - 2).cast("long").alias("pvx"), (_e() % 5 - 2).alias("pvy"))
     return state.positions(rows).select("stream_id", "t", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("vx").cast("long").alias("vx"), F.col("vy").cast("long").alias("vy"))
 
 
@@ -35,7 +41,7 @@ SELECT stream_id, t, x, y, vx, vy FROM st WHERE t > 0"""
 def position_asof(spark, sf_dir):
     rows = log(spark, sf_dir)
     at = lambda c, a: state.latest(c, F.col("op") == "click", ["stream_id"]).cast("long").alias(a)
-    return rows.select("stream_id", "t", at(E % 64, "x"), at(K % 48, "y"))
+    return rows.select("stream_id", "t", at(_e() % 64, "x"), at(_k() % 48, "y"))
 
 
 POSITION_ASOF = f"""WITH {LOG}, c AS (SELECT stream_id, t, event_id % 64 AS x, CAST(k % 48 AS BIGINT) AS y FROM ev WHERE op = 'click')
@@ -44,10 +50,10 @@ SELECT ev.stream_id, ev.t, c.x, c.y FROM ev ASOF LEFT JOIN c ON ev.stream_id = c
 
 def motion(spark, sf_dir):
     kinds = ["place", "velocity", "program", "affine", "advance", "advance_program", "advance_program", "advance", "program_end"]
-    which = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(E * 7 + K, F.lit(9)) + 1).cast("int"))
+    which = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(_e() * 7 + _k(), F.lit(9)) + 1).cast("int"))
     rows = log(spark, sf_dir).withColumn("which", which)
     long = lambda c, a: c.cast("long").alias(a)
-    rows = rows.select("stream_id", "t", F.when(F.col("which") == "program_end", "program").otherwise(F.col("which")).alias("op"), long(E % 64, "px"), long(K % 48, "py"), long(K % 3 - 1, "pvx"), long(E % 3 - 1, "pvy"), long(F.col("cents") % 2, "pax"), long(E % 2, "pay"), long(F.when(F.col("which") == "program_end", 0).otherwise(1 + E % 4), "steps"), long((K % 3 == 0).cast("int"), "identity"))
+    rows = rows.select("stream_id", "t", F.when(F.col("which") == "program_end", "program").otherwise(F.col("which")).alias("op"), long(_e() % 64, "px"), long(_k() % 48, "py"), long(_k() % 3 - 1, "pvx"), long(_e() % 3 - 1, "pvy"), long(F.col("cents") % 2, "pax"), long(_e() % 2, "pay"), long(F.when(F.col("which") == "program_end", 0).otherwise(1 + _e() % 4), "steps"), long((_k() % 3 == 0).cast("int"), "identity"))
     return state.motion(rows).select("stream_id", "t", "x", "y", "mode")
 
 
@@ -71,7 +77,7 @@ SELECT stream_id, t, x, y, mode FROM st WHERE t > 0"""
 
 
 def overlay(spark, sf_dir):
-    rows = log(spark, sf_dir).select("stream_id", "t", _op({"signup": "patch", "error": "clear"}).alias("op"), (E % 64).alias("x"), (K % 48).cast("long").alias("y"), (F.col("cents") % 256).alias("v"))
+    rows = log(spark, sf_dir).select("stream_id", "t", _op({"signup": "patch", "error": "clear"}).alias("op"), (_e() % 64).alias("x"), (_k() % 48).cast("long").alias("y"), (F.col("cents") % 256).alias("v"))
     return state.overlay(rows)
 
 
@@ -81,8 +87,8 @@ SELECT stream_id, x, y, v FROM p QUALIFY row_number() OVER (PARTITION BY stream_
 
 
 def palette(spark, sf_dir):
-    entries = F.array(*[((E * (j + 1) + K) % 256).cast("long") for j in range(4)])
-    rows = log(spark, sf_dir).select("stream_id", "t", _op({"purchase": "set", "signup": "patch"}).alias("op"), entries.alias("entries"), (E % 4).cast("int").alias("idx"), (F.col("cents") % 256).alias("v"))
+    entries = F.array(*[((_e() * (j + 1) + _k()) % 256).cast("long") for j in range(4)])
+    rows = log(spark, sf_dir).select("stream_id", "t", _op({"purchase": "set", "signup": "patch"}).alias("op"), entries.alias("entries"), (_e() % 4).cast("int").alias("idx"), (F.col("cents") % 256).alias("v"))
     return state.palette(rows)
 
 
@@ -97,7 +103,7 @@ FROM (SELECT st.stream_id, p, unnest(range(0, 4)) AS i FROM st JOIN (SELECT stre
 
 
 def instances(spark, sf_dir):
-    rows = log(spark, sf_dir).select("stream_id", "t", _op({"signup": "create", "error": "clear"}).alias("op"), (K % 6).cast("long").alias("id"))
+    rows = log(spark, sf_dir).select("stream_id", "t", _op({"signup": "create", "error": "clear"}).alias("op"), (_k() % 6).cast("long").alias("id"))
     return state.instances(rows)
 
 
@@ -107,7 +113,7 @@ SELECT stream_id, life, id, t, (SELECT count(*) FROM c d WHERE d.stream_id = c.s
 
 
 def bindings(spark, sf_dir):
-    rows = log(spark, sf_dir).select("stream_id", "t", _op({"view": "bind", "click": "bind", "error": "clear"}).alias("op"), (K % 6).cast("long").alias("id"), (E % 4).alias("palette"))
+    rows = log(spark, sf_dir).select("stream_id", "t", _op({"view": "bind", "click": "bind", "error": "clear"}).alias("op"), (_k() % 6).cast("long").alias("id"), (_e() % 4).alias("palette"))
     return state.bindings(rows)
 
 
@@ -117,7 +123,7 @@ SELECT * FROM (SELECT b.stream_id, id, arg_max(palette, b.t) AS palette FROM b L
 
 
 def ingest_order(spark, sf_dir):
-    rows = log(spark, sf_dir).select("stream_id", "t", F.when(E % 37 == 0, F.col("t") - 2).otherwise(F.col("t")).alias("at"))
+    rows = log(spark, sf_dir).select("stream_id", "t", F.when(_e() % 37 == 0, F.col("t") - 2).otherwise(F.col("t")).alias("at"))
     return state.first_error(rows)
 
 
