@@ -30,8 +30,8 @@ from . import common
 
 #: Bounds of the sample for each label.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 12 << 20
-#: Prior strength as a share of the sample's documents; least |z| of a token that is kept; score of all other tokens.
-PRIOR, LEAST_Z, DRIFT = 1 / 18, 3.0, -0.02
+#: Prior strength as a share of the sample; least |z| and log-odds of a token that is kept; score of all other tokens.
+PRIOR, LEAST_Z, LEAST_ODDS, DRIFT = 1 / 18, 3.0, 1.0, -0.02
 #: Largest E-value of a significant passage.
 SIGNIFICANT = 0.01
 WORD = re.compile(r"[^\W_]+")
@@ -93,15 +93,19 @@ def segments(s: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log-odds of tokens by documents that have them, with a Dirichlet prior of their share in both; significant ones only."""
-    n, out = n_toxic + n_clean, {}
+def log_odds(toxic: Counter, clean: Counter) -> dict[str, float]:
+    """Log-odds of tokens, counted once a document, with a Dirichlet prior of their share in both; significant ones only.
+
+    Shares are of all counts of a label, so that longer documents of one label don't lean every common word to it.
+    """
+    n_toxic, n_clean, out = toxic.total(), clean.total(), {}
+    n = n_toxic + n_clean
     strength = max(1.0, PRIOR * n)
     for w in toxic.keys() | clean.keys():
         t, c = toxic[w], clean[w]
         prior = strength * (t + c) / n
         d = math.log((t + prior) / (n_toxic + strength - t - prior + 1)) - math.log((c + prior) / (n_clean + strength - c - prior + 1))
-        if abs(d) >= LEAST_Z * math.sqrt(1 / (t + prior) + 1 / (c + prior)):
+        if abs(d) >= max(LEAST_ODDS, LEAST_Z * math.sqrt(1 / (t + prior) + 1 / (c + prior))):
             out[w] = d
     return out
 
@@ -146,7 +150,7 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model:
     counts = (Counter(), Counter())
     for w, label in zip(words, labels):
         counts[label].update({t for x in set(w) for t in tokens(x)})
-    model.scores = log_odds(counts[1], counts[0], n_toxic, len(labels) - n_toxic)
+    model.scores = log_odds(counts[1], counts[0])
     # the extreme-value law of clean texts
     clean: Counter = Counter()
     for text, label in zip(kept, labels):
