@@ -66,19 +66,21 @@ def encode(docs: DataFrame) -> DataFrame:
             words, number = np.unique(tokens, return_inverse=True)
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(np.uint8)
             train = int((count + 1)[held == 0].sum())
+            ids = batch.column("doc_id")
+            held |= ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << 1  # a second bit: no id
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([packed(count + 1)]), pa.array([packed(held)]), pa.array([packed_keys(words)]), pa.array([packed(number)]), pa.array([len(tokens)], pa.int64()), pa.array([train], pa.int64())],
+                [pa.array([uuid.uuid4().hex]), pa.array([packed(ids.fill_null(0).to_numpy().view(np.uint64))]), pa.array([packed(count + 1)]), pa.array([packed(held)]), pa.array([packed_keys(words)]), pa.array([packed(number)]), pa.array([len(tokens)], pa.int64()), pa.array([train], pa.int64())],
                 names=["block", "ids", "counts", "held", "words", "tokens", "n", "train"],
             )
 
-    return docs.mapInArrow(run, "block string, ids array<long>, counts binary, held binary, words binary, tokens binary, n long, train long")
+    return docs.mapInArrow(run, "block string, ids binary, counts binary, held binary, words binary, tokens binary, n long, train long")
 
 
 class Block:
     """A coded block: its tokens, contexts, and for each order its distinct n-grams."""
 
     def __init__(self, counts: bytes, held: bytes, words: bytes, tokens: bytes):
-        self.counts, self.held = unpacked(counts).astype(np.int64), unpacked(held).astype(bool)
+        self.counts, self.held = unpacked(counts).astype(np.int64), (unpacked(held) & np.uint64(1)).astype(bool)
         self.words, self.number = unpacked_keys(words), unpacked(tokens).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         self.train = np.repeat(~self.held, self.counts)
@@ -152,12 +154,12 @@ def counted(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         v = int(got.loc[got["order"] == 1, "v"].sum())
         return pd.DataFrame({"ids": [r["ids"]], "counts": [r["counts"]], "held": [r["held"]], "c1": [packed(c[1])], "c2": [packed(c[2])], "v": [v]})
 
-    return blocks.select("block", "ids", "counts", "held", "words", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "ids array<long>, counts binary, held binary, c1 binary, c2 binary, v long")
+    return blocks.select("block", "ids", "counts", "held", "words", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "ids binary, counts binary, held binary, c1 binary, c2 binary, v long")
 
 
 def terms(r: dict):
     """Of a counted block: tokens of each row, held rows, and for each token c(w), c(v w) and c(v)."""
-    counts, held = unpacked(r["counts"]).astype(np.int64), unpacked(r["held"]).astype(bool)
+    counts, held = unpacked(r["counts"]).astype(np.int64), (unpacked(r["held"]) & np.uint64(1)).astype(bool)
     c1, c2 = unpacked(r["c1"]).astype(np.int64), unpacked(r["c2"]).astype(np.int64)
     first = np.cumsum(counts) - counts
     before = np.roll(c1, 1)
@@ -222,7 +224,8 @@ def scores(docs: DataFrame, held: Column) -> DataFrame:
     blocks = common.written(encode(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))))
     size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     n, buckets = size["train"], max(1, -(-size["n"] // BUCKET_TOKENS))
-    counts = common.written(counted(blocks, answered(asked(blocks, buckets))))
+    answers = common.written(answered(asked(blocks, buckets)))  # the messages to the buckets go before the blocks move
+    counts = common.written(counted(blocks, answers))
     v = counts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()["v"]
     w = weights(histogram(counts, n, v))
 
@@ -234,7 +237,7 @@ def scores(docs: DataFrame, held: Column) -> DataFrame:
                 p = lam[:, 0] * c2 / np.maximum(before, 1) + lam[:, 1] * c1 / max(1, n) + lam[:, 2] / (v + 1)
                 sums = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["ids"], pa.int64()), pa.array(held), pa.array(counts), pa.array(sums((c1 > 0).astype(np.int64))), pa.array(np.full(len(counts), n)), pa.array(sums(np.log10((c1 + 1) / (n + v + 1)))), pa.array(sums(np.log10(p)))],
+                    [pa.array(unpacked(r["ids"]).view(np.int64), mask=(unpacked(r["held"]) > 1)), pa.array(held), pa.array(counts), pa.array(sums((c1 > 0).astype(np.int64))), pa.array(np.full(len(counts), n)), pa.array(sums(np.log10((c1 + 1) / (n + v + 1)))), pa.array(sums(np.log10(p)))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -50,3 +50,9 @@ def test_weights_recover_a_mixture():
 
 def test_empty(spark, empty_dir):
     assert lm.query(spark, empty_dir).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2**60 + 1, "a"), (None, None)], "doc_id long, text string")
+    got = lm.scores(docs, F.lit(False)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in got) == [(0, 1, 6), (0, 3, 6), (2**60 + 1, 2, 6)]
