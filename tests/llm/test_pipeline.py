@@ -14,13 +14,14 @@ def model():
 
 def test_stages(spark, rows, sf_dir, monkeypatch, model):
     monkeypatch.setattr(pii, "train", lambda texts: model)
-    docs = common.table(spark, sf_dir, "documents").withColumn("score", common.F.lit("extra"))
+    docs = common.table(spark, sf_dir, "documents").withColumns({c: common.F.lit("extra") for c in ("score", "items", "spans", "block")})
     stage = dict(corpus_pipeline.STAGES)
     assert list(stage) == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "personal_data", "best_fit_packing"]
     every = sorted((r.doc_id, r.text or "") for r in docs.collect())
 
     kept = stage["toxicity"](spark, docs, sf_dir)
     assert kept.columns == docs.columns and 0 < kept.count() <= len(every)
+    assert all(set(r[-4:]) == {"extra"} for r in kept.collect())
 
     fps = [brute_fp(t) for _, t in rows[0]]
     ids = [i for i, _ in rows[0]]
@@ -37,7 +38,7 @@ def test_stages(spark, rows, sf_dir, monkeypatch, model):
     got = stage["personal_data"](spark, docs, sf_dir)
     assert got.columns == docs.columns and got.count() == len(every)
     for r in got.collect():
-        assert not naive(r.text) and (r.text is None or r.n_chars is None or r.n_chars == len(r.text))
+        assert r.spans == "extra" and not naive(r.text) and (r.text is None or r.n_chars is None or r.n_chars == len(r.text))
 
 
 def test_run(spark, sf_dir, empty_dir, monkeypatch, model):
