@@ -1,7 +1,7 @@
 """The binary container of a scene, as records.
 
 A container is a header, object and palette records, one checkpoint, groups of transitions, and a digest of all that came
-before. Numbers are little endian. The magic bytes and the digest are parameters (SHA-256 here; 32 bytes).
+before (BLAKE3, 32 bytes; a parameter). Numbers are little endian. The magic bytes are a parameter too.
 
 `spark.read.format("scene_container")` gives one row for each record or transition: path, ord, tag, t, args, data, offset,
 length, error. A container that breaks a rule gives the rows before the breach and one row that names it.
@@ -9,12 +9,13 @@ length, error. A container that breaks a rule gives the rows before the breach a
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.digest import blake3
+
 MAGIC = b"SCENE\0"
 VERSION, UNIVERSE, PROFILE = 1, 1, 1
 SCHEMA = "path string, ord int, tag int, t long, args array<long>, data binary, offset long, length long, error string"
@@ -30,10 +31,6 @@ GENERATORS = {0: "Bii", 1: "BBI", 2: "BiiI", 3: "Q"}
 LARGEST = 1 << 24
 
 
-def sha256(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()
-
-
 class Breach(ValueError):
     """A rule of the format that a container breaks."""
 
@@ -96,7 +93,7 @@ def transition(tag: int, args: list[int], data: bytes = b"") -> bytes:
     raise Breach("unknown transition")
 
 
-def write(width: int, height: int, records: list[tuple], groups: list[tuple], features: int = 0, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = sha256) -> bytes:
+def write(width: int, height: int, records: list[tuple], groups: list[tuple], features: int = 0, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = blake3) -> bytes:
     """records: (tag, args, data); groups: (t, [(tag, args, data), ...])."""
     out = header(width, height, features, magic) + b"".join(record(*r) for r in records)
     for t, transitions in groups:
@@ -104,7 +101,7 @@ def write(width: int, height: int, records: list[tuple], groups: list[tuple], fe
     return out + digest(out)
 
 
-def read(data: bytes, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = sha256) -> Iterator[tuple]:
+def read(data: bytes, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = blake3) -> Iterator[tuple]:
     """(ord, tag, t, args, data, offset, length) of each record and transition; raises Breach. The digest is checked last."""
     cur = Cursor(data, len(data) - 32)
     if cur.end < len(magic) or cur.take(len(magic)) != magic:

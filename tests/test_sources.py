@@ -1,6 +1,5 @@
-import hashlib
-
 import pytest
+from rasterloom.functions.digest import blake3
 from rasterloom.sources import container as c
 from rasterloom.sources import frames, script
 
@@ -43,7 +42,7 @@ def test_scripts_that_are_wrong(text):
 
 def hostile():
     good = c.write(*script.parse(SCRIPT))
-    seal = lambda b: b + hashlib.sha256(b).digest()
+    seal = lambda b: b + blake3(b)
     fill, ckpt = (c.FILL, [1, 1, 1, 1], b""), (c.CHECKPOINT, [0, 1, 1, 0, 0], b"")
     yield "magic", b"X" + good[1:]
     yield "digest", good[:-1] + bytes([good[-1] ^ 1])
@@ -105,3 +104,10 @@ def test_manifests(spark):
     assert {tuple(r) for r in frames.verified_import(mine, got).collect()} == {(1, "time"), (2, "unexpected")}
     probe = spark.createDataFrame([(0, "index=3"), (0, "disposition.default=0"), (1, "index=4"), (1, "disposition.default=1"), (1, "x=a=b"), (1, "noise")], "section int, value string")
     assert frames.chosen_stream(frames.probe(probe)).first().pairs["x"] == "a=b"
+
+
+def test_digest_of_published_vectors():
+    assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    assert blake3(b"abc").hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    data = bytes(i % 251 for i in range(1025))
+    assert blake3(data[:1024]).hex()[:16] == "42214739f095a406" and blake3(data).hex()[:16] == "d00278ae47eb27b3"
