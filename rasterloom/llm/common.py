@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_TABLE = np.frombuffer(LOWER, np.uint8)
 #: Text is worked on in slices of about so many bytes; a longer text is a slice of its own.
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,16 +29,30 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where unset (one machine), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+#: Removes the shuffle files of a write when it has ended; until then a lost executor's are made again.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends here, and lost executors cost no recomputation."""
+    """df as a Parquet table in the shared folder: its lineage ends here, and lost executors cost no recomputation.
+
+    Nothing reads the shuffles behind a written table again, so they go with the write and do not add up over an operator's steps.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,7 +126,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // 262144) * 262144
             for name, base in (("up", self.base), ("down", self.inverse)):
                 factors = np.full(n, base, np.uint64)
                 factors[0] = 1
