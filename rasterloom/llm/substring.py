@@ -124,9 +124,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     partly = wide.join(twice, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1L, cast(j as int))")).alias("mask"))
     whole = kinds.filter("n > 1").select("anchor", "digest", F.expr("shiftleft(1L, cast(one.place & 31 as int)) - 1").alias("mask"))
     masks = common.written(whole.unionAll(partly.join(edges.filter("n = 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")))
-    marked = met.join(masks, ["anchor", "digest"])
-    marks = F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("run"), "mask")).alias("marks")
-    return marked.distinct().groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(marks)
+    # without the join's keys what follows needs a shuffle of its own, and Spark may split a run that very many documents share
+    marked = met.join(masks, ["anchor", "digest"]).select("did", "place", "mask")
+    marks = F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("run"), "mask")).alias("marks")
+    return marked.groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(marks)
 
 
 def covered(n_words: int, runs: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
