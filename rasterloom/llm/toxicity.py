@@ -136,20 +136,17 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model:
     base = min(1 - 1e-4, max(1e-4, share))
     model = Model(weights=(math.log(base / (1 - base)), 0.0, 0.0))
     seen: set[int] = set()
-    words, labels, kept = [], [], []
+    counts, labels, kept = (Counter(), Counter()), [], []
     for text, label in zip(texts, toxic):
         w = WORD.findall((text or "").lower())
         if w and not seen.intersection(keys := near_copy_keys(w)):
             seen.update(keys)
-            words.append(w)
+            counts[label].update({t for x in set(w) for t in tokens(x)})  # a text's words are not kept
             labels.append(label)
             kept.append(text)
     n_toxic = sum(labels)
     if not n_toxic or n_toxic == len(labels):
         return model
-    counts = (Counter(), Counter())
-    for w, label in zip(words, labels):
-        counts[label].update({t for x in set(w) for t in tokens(x)})
     model.scores = log_odds(counts[1], counts[0])
     # the extreme-value law of clean texts
     clean: Counter = Counter()
