@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -148,18 +149,35 @@ def affected(plan: dict[tuple[int, int], int], old_shards: int, shards: int) ->
     return {j for j in moved if j < shards} | set(range(old_shards, shards))
 
 
-def rewrite(old_path: str, placed: DataFrame, docs: DataFrame, keys: list[str], out_path: str) -> DataFrame:
-    """Writes the rows whose shard changed, or whose shard others join, as out_path/shard=N; untouched shards are not read.
+def rewrite(old_path: str, placed: DataFrame, docs: DataFrame | None, keys: list[str], out_path: str, unique: bool = False) -> DataFrame:
+    """Writes the rows whose shard changed, or whose shard others join, as out_path/shard=N.
 
-    placed is what reshard() returned; docs the table at old_path. Returns the shards written and their rows.
+    placed is what reshard() returned. Rows come from old_path/shard=N, N being `old`, or with an empty old_path from docs, by its
+    column `old` if it has one; old shards that give no row to a written shard are not read. keys, which may be null, must tell
+    rows of different size apart; rows equal in all of them are numbered and get one slot each (with unique=True none are equal, and
+    the texts are not dealt out for that). Returns the shards written and their rows.
     """
+    spark = placed.sparkSession
     changed = placed.filter("old <> shard")
-    touched = changed.select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
-    moving = placed.join(F.broadcast(touched), "shard", "left_semi").select(*keys, "shard", "slot")
-    full = docs.join(moving, keys)
-    full.repartition("shard", F.floor(F.col("slot") / 100000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out_path)
-    spark = docs.sparkSession
-    return spark.read.parquet(out_path).groupBy("shard").agg(F.count("*").alias("rows"))
+    touched = [r["shard"] for r in changed.select(F.explode(F.array("old", "shard")).alias("shard")).distinct().collect()]  # at most one a shard
+    moving = placed.filter(F.col("shard").isin(touched))
+    sources = [r["old"] for r in moving.select("old").distinct().collect()]
+    if old_path:
+        paths = [f"{old_path}/shard={i}" for i in sorted(sources)]
+        if paths:
+            docs = spark.read.option("basePath", old_path).parquet(*paths).withColumnRenamed("shard", "old")
+        else:
+            docs = spark.createDataFrame([], placed.select(*keys).schema)
+    elif "old" in docs.columns:
+        docs = docs.filter(F.col("old").isin(sources))
+    nth = F.lit(1) if unique else F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    moving = moving.select(*[F.col(k).alias(f"__{k}") for k in keys], "shard", "slot", nth.alias("__m"))
+    same = F.col("__n") == F.col("__m")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    full = docs.withColumn("__n", nth).join(moving, same).drop("__n", "__m", *[f"__{k}" for k in keys])
+    full.repartition("shard", F.floor(F.col("slot") / 100000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(out_path)
+    return spark.read.schema(full.schema).parquet(out_path).groupBy("shard").agg(F.count("*").alias("rows"))
 
 
 def old_layout(source: Column, shards: int = 12) -> Column:
@@ -168,9 +186,16 @@ def old_layout(source: Column, shards: int = 12) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 15 under the law `bytes`."""
+    """All documents into shards 0 to 15 under the law `bytes`; the shards that change are written to the shared folder."""
     docs = common.table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_layout(F.col("source")).alias("old"))
-    out = reshard(common.written(rows), 12, 16)
+    row = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}  # tells every row from all others
+    columns = ["doc_id", "size", "text_crc32", "old"]
+    docs = docs.withColumns(row | {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "old": old_layout(F.col("source"))})
+    out = common.written(reshard(common.written(docs.select(*columns, *row)), 12, 16))
+    path = f"{common.shared_folder(spark)}/{uuid.uuid4().hex}"
+    rewrite("", out, docs, list(row), path, unique=True)
+    files = spark.read.schema(out.select(*columns, "slot", "shard").schema).parquet(path)
+    kept = out.join(F.broadcast(files.select("shard").distinct()), "shard", "left_anti")
+    out = files.unionByName(kept.select(*files.columns))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
