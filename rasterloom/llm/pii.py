@@ -238,15 +238,16 @@ def train(texts: list[str], made: int = MADE_UP, steps: int = 480) -> Tagger:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[str]:
     """Texts to learn from: at most `rows` with a digit or an @, and at most `size` bytes, in hash order."""
     some = common.written(docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("order"), F.octet_length("text").alias("bytes")))
-    left, upto = size, None
+    left, picks = size, []
     for r in some.distinct().orderBy("order", "bytes").limit(rows).collect():
-        left -= r["bytes"]
-        if left < 0:
-            break
-        upto = r["order"]
-    if upto is None:
+        if r["bytes"] <= left:  # a text that doesn't fit the bytes left is passed over
+            left -= r["bytes"]
+            picks.append((r["order"], r["bytes"]))
+    if not picks:
         return []
-    return [r["text"] for r in docs.filter(F.col("text").rlike("[0-9@]") & (F.xxhash64("text") <= upto)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(picks, "order long, bytes int"))
+    own = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("order"), F.octet_length("text").alias("bytes"))
+    return [r["text"] for r in own.join(taken, ["order", "bytes"], "left_semi").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
 
 
 def find(docs: DataFrame, model: Tagger | None = None, redact: bool = False) -> DataFrame:

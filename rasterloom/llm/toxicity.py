@@ -198,14 +198,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
     for label in (0, 1):
         own = found.filter(F.col("toxic") == label)
         sizes = own.select("order", "bytes").orderBy("order", "bytes").limit(2 * rows).collect()
-        upto, left = None, size
-        for r in sizes:
-            left -= r["bytes"]
-            if left < 0:
-                break
-            upto = r["order"]
-        if upto is not None:
-            got = [r["text"] for r in own.filter(F.col("order") <= upto).orderBy("order", "text").limit(2 * rows).collect()]
+        left, picks = size, []
+        for r in sizes:  # a row that doesn't fit the bytes left is passed over
+            if r["bytes"] <= left:
+                left -= r["bytes"]
+                picks.append((r["order"], r["bytes"]))
+        if picks:
+            taken = docs.sparkSession.createDataFrame(sorted(set(picks)), "order long, bytes int")
+            got = [r["text"] for r in own.join(F.broadcast(taken), ["order", "bytes"], "left_semi").orderBy("order", "text").limit(len(picks)).collect()]
             texts += got
             marks += [label] * len(got)
     return fit(texts, marks, counts.get(1, 0) / sum(counts.values()))

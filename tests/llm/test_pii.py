@@ -110,3 +110,10 @@ def test_query(spark, rows, sf_dir):
 def test_empty(spark, empty_dir, model, monkeypatch):
     monkeypatch.setattr(pii, "train", lambda texts: model)
     assert pii.query(spark, empty_dir).count() == 0
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    for long in range(3):
+        texts = ["w" * (500 if i == long else 10) + str(i) for i in range(6)]
+        docs = spark.createDataFrame([(t,) for t in texts], "text string")
+        assert sorted(pii.sample(docs, 10, 100)) == sorted(t for i, t in enumerate(texts) if i != long)

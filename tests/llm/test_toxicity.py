@@ -66,3 +66,14 @@ def test_passages_are_where_the_words_are(spark, tables):
 
 def test_empty(spark, empty_dir):
     assert toxicity.query(spark, empty_dir).count() == 0
+
+
+def test_a_long_text_does_not_end_the_sample(spark, monkeypatch):
+    """Wherever the long text stands in hash order, the other rows of its label are learned from."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks, rate: seen.update(texts=texts, marks=marks))
+    for long in range(3):
+        docs = spark.createDataFrame([(i, "w" * (500 if i == long else 10) + str(i)) for i in range(6)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id long, toxic int")
+        toxicity.train(docs, labels, 10, 100)
+        assert sorted(seen["texts"]) == [f"{'w' * 10}{i}" for i in range(6) if i != long] and sum(seen["marks"]) == 2
