@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where unset (one machine), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where unset, and Spark runs in one process, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"
@@ -53,7 +56,17 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables that written() has made, once all that reads them is itself written."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_crc(doc_id: Column) -> Column:
@@ -61,8 +74,9 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def sliced(batches, column: str = "text", limit: int = SLICE):
-    """Batches cut into slices of about limit bytes of one string column."""
+def sliced(batches, column: str = "text", limit: int | None = None):
+    """Batches cut into slices of about limit bytes (SLICE) of one string column."""
+    limit = limit or SLICE
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -142,13 +156,47 @@ class Rolling:
         return mixed((sums[hi] - sums[lo]) * self.down[lo])
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
 class WordHash:
-    """64-bit hashes of the words of a slice of text."""
+    """64-bit hashes of the words of a slice of text: eight bytes at a time, each step a bijection of what it takes in.
+
+    Words of up to eight bytes and one length never share a hash; others do by chance alone, about once in 2**64 pairs.
+    """
 
     def __init__(self, lower: bool = False):
-        codes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.codes = codes[LOWER_TABLE] if lower else codes
-        self.rolling = Rolling(0xD6E8FEB86659FD93)
+        self.lower = lower
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        return self.rolling.runs(self.rolling.sums(self.codes[data]), starts, stops)
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = LOWER_TABLE[data] if self.lower else data
+        lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        size = stops - starts
+        h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = np.flatnonzero(size <= LONG_WORD)
+        done = 0
+        while len(at):
+            lane = np.ascontiguousarray(lanes[starts[at] + done]).view("<u8").ravel()
+            h[at] = mixed(h[at] ^ (lane & TAIL[np.minimum(size[at] - done, 8)])) + np.uint64(done)
+            done += 8
+            at = at[size[at] > done]
+        for k in np.flatnonzero(size > LONG_WORD):
+            h[k] = xxhash.xxh3_64_intdigest(padded[starts[k] : stops[k]].tobytes())
+        return h
+
+
+def single_spaced(data: np.ndarray, ends: np.ndarray, separator: np.ndarray = WHITE):
+    """The words of a slice with one space between any two of a row, and start and end of each there, and the first word of each row."""
+    starts, stops, first = words_of(data, ends, separator)
+    keep = ~separator[data]
+    after = stops[stops < len(data)]
+    keep[after] = True  # the byte behind a word: white space, or the next row's first
+    flat = data[keep].copy()
+    flat[separator[flat]] = 0x20
+    begin = (np.cumsum(keep, dtype=np.int32)[starts] - 1).astype(np.int64) if len(starts) else starts
+    return flat, begin, begin + (stops - starts), first

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_lm": lm.query,
 }
 ORACLES = {
+    "op4_substring": substring.ORACLE,
     "op7_decontamination": decontam.ORACLE,
 }

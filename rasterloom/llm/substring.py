@@ -1,14 +1,19 @@
 """Substring dedup by seed and extend: documents meet on winnowed anchors, matches are extended both ways, repeats stay if long.
 
-Of the eight-word grams of every window of 35 words the one with the smallest hash is the window's anchor. Consecutive windows
-with one anchor form a run (about 14 windows); equal windows have equal anchors at equal offsets, so any repeat meets in its
-anchor's group. Groups of one run go. In the others a run that repeats whole (its digest spans all words that its windows
-reach, left and right of the anchor) is settled at once; runs at the edge of a repeat differ, and there one copy of each
-distinct run is extended word by word in both directions: the hashes of its windows are counted within the anchor's group.
-No step pairs the members of a group.
-
-Windows are identified by the anchor's hash and their own, 128 bits. Defined results: null and empty texts have no words;
-repeated rows are documents of their own, so all copies go; texts shorter than a window keep all words.
+Of the eight-word grams of every window of 35 words the one with the smallest hash is the window's anchor (the seed).
+Consecutive windows with one anchor form a run (about 14 windows); equal windows have equal anchors at equal offsets, so any
+repeat meets in its anchor's group. Groups of one run go. In the others a match is first extended as far as the run goes, left
+and right of the anchor: runs equal in all words that their windows reach repeat whole. Runs that differ there hold the edge of
+a repeat; one copy of each is extended word by word in both directions: its windows are compared with those of the group's
+other runs. Neighbouring marked windows join into the maximal repeats, which are `spans`. No step pairs the members of a group.
+
+Runs and windows are told apart by BLAKE2b digests of 128 bits of their words; hashes of words only choose anchors, and anchors
+that collide only share a group. Documents are told apart by 92 bits of the SHA-256 of doc_id and text.
+
+Work is done when the function is called, step by step; each step is a table in the shared folder, so a lost executor costs one
+step. Tables that only steps read are removed. Defined results: null and empty texts have no words; rows equal in doc_id and
+text are documents of their own, so all copies go; texts shorter than a window keep all words; a null doc_id is an id like any
+other; a text may have up to 2**27 words; columns named like a result are replaced by it, all others are carried along.
 """
 
 from __future__ import annotations
@@ -34,20 +39,25 @@ class Winnow:
         if not 0 < gram <= window or window - gram >= 31:
             raise ValueError("a run's windows are a mask of 31 bits: window - gram must be under 31")
         self.window, self.gram = window, gram
-        self.words = common.WordHash()
-        self.grams, self.wide = common.Rolling(0x9FB21C651E98DF25), common.Rolling(0xA0761D6478BD642F)
+        self.words, self.grams = common.WordHash(), common.Rolling(0x9FB21C651E98DF25)
 
     def load(self, data: np.ndarray, ends: np.ndarray) -> None:
-        starts, stops, self.first = common.words_of(data, ends)
-        self.h = self.words(data, starts, stops)
-        self.sums = self.wide.sums(common.mixed(self.h ^ np.uint64(0x2545F4914F6CDD1D)))
+        flat, self.begin, self.end, self.first = common.single_spaced(data, ends)
+        self.h = self.words(flat, self.begin, self.end)
+        self.flat = flat.tobytes()
+
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of the words lo to hi - 1, as two numbers of 64 bits."""
+        flat, new = self.flat, hashlib.blake2b
+        out = b"".join([new(flat[a:b], digest_size=16).digest() for a, b in zip(self.begin[lo].tolist(), self.end[hi - 1].tolist())])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
 
     def runs(self):
         """Row, first window (counted in the row), number of windows, anchor and digest of each run."""
         n, span = len(self.h) - self.window + 1, self.window - self.gram + 1
+        none = np.zeros(0, np.int64)
         if n <= 0:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, none.view(np.uint64), none.reshape(0, 2)
         at = np.arange(len(self.h) - self.gram + 1)
         g = self.grams.runs(self.grams.sums(self.h), at, at + self.gram)
         least, width = (g & ~PLACE) | at.astype(np.uint64), 1
@@ -57,51 +67,54 @@ class Winnow:
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         s = np.flatnonzero(row[:n] == row[self.window - 1 :])
         if not len(s):
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, none.view(np.uint64), none.reshape(0, 2)
         a = (least[s] & PLACE).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])]))
         count = np.diff(np.append(new, len(s)))
         s, a = s[new], a[new]
-        shape = ((a - s) * 64 + count).astype(np.uint64)
-        digest = common.mixed(self.wide.runs(self.sums, s, s + count + self.window - 1) ^ common.mixed(shape))
-        return row[s], s - self.first[row[s]], count, g[a], digest
+        return row[s], s - self.first[row[s]], count, g[a], self.digests(s, s + count + self.window - 1)
 
     def windows(self, row: int, start: np.ndarray, count: np.ndarray):
-        """Hashes of the windows of some runs of one row, run after run."""
+        """Digests of the windows of some runs of one row, run after run."""
         s = np.repeat(start + self.first[row], count) + np.concatenate([np.arange(c) for c in count])
-        return self.wide.runs(self.sums, s, s + self.window)
+        return self.digests(s, s + self.window)
 
 
 def _keyed(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """did and tkey (32 bits) tell documents apart; rows equal in both doc_id and text share them and their fate."""
-    tkey = F.xxhash64("text", F.col("doc_id").isNull()).bitwiseAND(F.lit(0xFFFFFFFF))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), tkey.alias("tkey"), "text", *extra)
+    """did (60 bits) and tkey (32 bits) tell documents apart; rows equal in both doc_id and text share them and their fate."""
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), "?").otherwise(":"), F.coalesce("text", F.lit("")))
+    named = docs.select(F.sha2(whole.cast("binary"), 256).alias("__key"), F.col("text").cast("string").alias("text"), *extra)
+    bits = lambda first, n: F.conv(F.substring("__key", first, n), 16, 10).cast("long")
+    return named.select(bits(1, 15).alias("__did"), bits(16, 8).alias("__tkey"), "text", *extra)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(did, tkey, marks): for each document with repeats its runs as start * 32 + windows, and a mask of the repeated windows."""
+    """(__did, __tkey, __marks): for each document with repeats its runs as start * 32 + windows, and a mask of the repeated windows."""
+    word = ["d1", "d2"]  # the digest of a run
 
     def seed(batches):
         winnow = Winnow(window, gram)
         for batch in common.sliced(batches):
             winnow.load(*common.bytes_of(batch.column("text")))
             row, start, count, anchor, digest = winnow.runs()
-            did = batch.column("did").to_numpy()[row]
-            place = (batch.column("tkey").to_numpy()[row] << 32) | (start << 5) | count
-            yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(place), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["did", "place", "anchor", "digest"])
+            did = batch.column("__did").to_numpy()[row]
+            place = (batch.column("__tkey").to_numpy()[row] << 32) | (start << 5) | count
+            yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(place), pa.array(anchor.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["did", "place", "anchor", *word])
 
     keyed = _keyed(docs, [])
-    seeds = common.written(keyed.mapInArrow(seed, "did long, place long, anchor long, digest long"))
+    seeds = common.written(keyed.mapInArrow(seed, "did long, place long, anchor long, d1 long, d2 long"))
     # keys to join are written first: a join of two plain exchanges is one whose hot keys Spark can split
     often = common.written(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     met = common.written(seeds.join(often, "anchor"))
-    kinds = common.written(met.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("did", "place")).alias("one")))
+    common.removed(seeds, often)
+    kinds = common.written(met.groupBy("anchor", *word).agg(F.count("*").alias("n"), F.min(F.struct("did", "place")).alias("one")))
     several = common.written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"))
-    edges = common.written(kinds.join(several, "anchor").select("anchor", "digest", "n", "one.did", "one.place"))
+    edges = common.written(kinds.join(several, "anchor").select(*word, "n", "one.did", "one.place"))
+    common.removed(several)
 
-    todo = edges.groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(F.collect_list(F.struct("place", "anchor", "digest")).alias("todo"))
-    there = keyed.join(todo, ["did", "tkey"])
+    listed = F.collect_list(F.struct("place", *word)).alias("todo")
+    todo = edges.groupBy(F.col("did").alias("__did"), F.shiftrightunsigned("place", 32).alias("__tkey")).agg(listed)
+    there = keyed.join(todo, ["__did", "__tkey"])
 
     def extend(batches):
         winnow = Winnow(window, gram)
@@ -112,22 +125,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 todo = todo.values
                 place = todo.field("place").to_numpy() & 0xFFFFFFFF
                 count = place & 31
-                out[0].append(np.repeat(todo.field("anchor").to_numpy(), count))
-                out[1].append(np.repeat(todo.field("digest").to_numpy(), count))
+                out[0].append(np.repeat(todo.field("d1").to_numpy(), count))
+                out[1].append(np.repeat(todo.field("d2").to_numpy(), count))
                 out[2].append(np.concatenate([np.arange(c) for c in count]))
-                out[3].append(winnow.windows(row, place >> 5, count).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "digest", "j", "window"])
-
-    # rows repeated in the table extend the same run again; the mask below is of distinct (anchor, digest, j)
-    wide = common.written(there.mapInArrow(extend, "anchor long, digest long, j long, window long").distinct())
-    twice = common.written(wide.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window"))
-    partly = wide.join(twice, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1L, cast(j as int))")).alias("mask"))
-    whole = kinds.filter("n > 1").select("anchor", "digest", F.expr("shiftleft(1L, cast(one.place & 31 as int)) - 1").alias("mask"))
-    masks = common.written(whole.unionAll(partly.join(edges.filter("n = 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")))
+                out[3].append(winnow.windows(row, place >> 5, count))
+            d1, d2, j, w = (np.concatenate(x) for x in out)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1, d2, j, w[:, 0], w[:, 1])], names=[*word, "j", "w1", "w2"])
+
+    # rows repeated in the table extend the same run again; the mask below is of distinct (run, j)
+    wide = common.written(there.mapInArrow(extend, "d1 long, d2 long, j long, w1 long, w2 long").distinct())
+    twice = common.written(wide.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
+    partly = wide.join(twice, ["w1", "w2"]).groupBy(*word).agg(F.bit_or(F.expr("shiftleft(1L, cast(j as int))")).alias("mask"))
+    whole = kinds.filter("n > 1").select(*word, F.expr("shiftleft(1L, cast(one.place & 31 as int)) - 1").alias("mask"))
+    masks = common.written(whole.unionAll(partly.join(edges.filter("n = 1").select(*word), word, "left_semi")))
+    common.removed(wide, twice, kinds, edges)
     # without the join's keys what follows needs a shuffle of its own, and Spark may split a run that very many documents share
-    marked = met.join(masks, ["anchor", "digest"]).select("did", "place", "mask")
-    marks = F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("run"), "mask")).alias("marks")
-    return marked.groupBy("did", F.shiftrightunsigned("place", 32).alias("tkey")).agg(marks)
+    marked = met.join(masks, word).select("did", "place", "mask")
+    marks = F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("run"), "mask")).alias("__marks")
+    out = common.written(marked.groupBy(F.col("did").alias("__did"), F.shiftrightunsigned("place", 32).alias("__tkey")).agg(marks))
+    common.removed(met, masks)
+    return out
 
 
 def covered(n_words: int, runs: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -143,14 +160,15 @@ def covered(n_words: int, runs: np.ndarray, masks: np.ndarray, window: int) -> n
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """docs with n_words, n_removed, and kept (the words left, joined by one space) or with digest=True kept_sha256 instead;
     spans are the removed runs of words, [first, end)."""
-    extra = ["doc_id", *[c for c in docs.columns if c not in ("doc_id", "text", "did", "tkey", "n_words", "n_removed", "kept", "kept_sha256", "spans", "marks")]]
-    joined = _keyed(docs, extra).join(common.written(repeats(docs, window, gram)), ["did", "tkey"], "left").drop("did", "tkey")
-    schema = joined.select(*extra).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256" if digest else "kept", "string").add("spans", T.ArrayType(T.ArrayType(T.LongType())))
+    result = ("n_words", "n_removed", "kept_sha256" if digest else "kept", "spans")
+    extra = ["doc_id", *[c for c in docs.columns if c not in ("doc_id", "text", *result)]]
+    joined = _keyed(docs, extra).join(repeats(docs, window, gram), ["__did", "__tkey"], "left")
+    schema = joined.select(*extra).schema.add("n_words", "long").add("n_removed", "long").add(result[2], "string").add("spans", T.ArrayType(T.ArrayType(T.LongType())))
 
     def cut(batches):
         for batch in common.sliced(batches):
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks")):
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("__marks")):
                 words, gone = (text or "").encode().split(), []
                 total = len(words)
                 if marks.is_valid:
@@ -166,9 +184,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
                 spans.append(gone)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[f.name for f in schema])
 
-    return joined.select(*extra, "text", "marks").mapInArrow(cut, schema)
+    return joined.select(*extra, "text", "__marks").mapInArrow(cut, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + j AS p FROM (SELECT win.r, win.i, unnest(range(0, 35)) AS j FROM win JOIN again USING (k))),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE r IN (SELECT r FROM lost)) ANTI JOIN gone USING (r, p)
+  GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN lost.r IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.t, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
+"""
