@@ -1,12 +1,22 @@
 """SimHash near-duplicates by deletion variants.
 
-64 bits are cut into three segments, fewer than the four differing bits that still link. Of three segments one differs by one
-bit at most, so two linked fingerprints share that segment with one bit taken out. Every fingerprint is therefore stored
-under 64 keys (a segment without one of its bits); keys are joined for equality and each pair found is verified.
+A fingerprint is cut into segments, fewer than the differing bits that still link, so that of two linked fingerprints one
+segment differs by one bit at most: they share that segment with one bit taken out. Every fingerprint is therefore stored under
+as many keys as it has bits (a segment without one of its bits); keys are joined for equality and each pair found is verified.
 
-Fingerprint: a bit is 1 if more than half of the XXH64 values (seed 42) of the word shingles have it. Defined results: a text
-without words (null, empty) has fingerprint zero and links like any other; a text of fewer words than a shingle is one
-shingle; equal fingerprints are one class, so that copies are never paired; a null doc_id is never the smallest of others.
+`near_duplicates` is exact: 64 bits in three segments link at up to four differing bits. `near_copies` is by similarity: 128 bits
+in eight segments give candidates, and those whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are links.
+A pair of similarity s differs in each bit with probability acos(2s / (1 + s)) / pi, so it becomes a candidate with probability
+0.93 at s = 0.8, 0.97 at 0.85 and 0.995 at 0.9.
+
+A key's group of over GROUP fingerprints is first split by the bits outside the key's segment, cut into one piece more than may
+differ, of which one is then equal; what is still large is searched from what is reached to what is left. Pairs are never listed.
+
+Fingerprint: a bit is 1 if more than half of the XXH64 values (seed 42) of the word shingles have it; the second 64 bits come
+from a bijection of those values. Defined results: a text without words (null, empty) has fingerprint zero, no shingles and
+links to its like; a text of fewer words than a shingle is one shingle; equal texts are one class, so that copies are never
+paired; a null doc_id is never the smallest of others; an empty table has no groups; other columns of docs are carried along by
+`deduplicated`, whatever their names (names that begin with two underscores are the operator's).
 """
 
 from __future__ import annotations
@@ -25,14 +35,19 @@ SHINGLE, BITS, SEED = 4, 4, 42
 CUTS = (0, 21, 42, 64)
 #: A group of one key above this size is linked by search among what is left, not pair by pair.
 GROUP = 64
-#: Rows of one partition of keys, about.
-PART_ROWS = 2_000_000
+#: Rows of one partition of keys, about; the fewest bits of a piece that a large group is split by.
+PART_ROWS, LEAST_PIECE = 2_000_000, 6
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
-    """Of lower-cased words, as an unsigned number."""
+#: Of the search by similarity: words of a shingle, least similarity, bits that candidates may differ in, words of 64 bits, first
+#: bit of each segment and the end, and how many candidates of a class are verified in the first round.
+WORDS, SIMILAR, WIDE_BITS, WIDE, WIDE_CUTS, FIRST = 5, 0.8, 30, 2, tuple(range(0, 129, 16)), 4
+
+
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of lower-cased words, repeats included."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
@@ -41,39 +56,63 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
         ends = np.cumsum([len(w) + 1 for w in words])
         spans = zip([0, *ends[: n - 1].tolist()], (ends[shingle - 1 :] - 1).tolist())
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(text[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the numbers have."""
     # bits are counted eight at a time: one byte column per round keeps the unpacked matrix small
     ones = np.zeros(64, np.int64)
     raw = h.view(np.uint8).reshape(-1, 8)
     for lo in range(0, len(h), 65536):
         ones += np.unpackbits(raw[lo : lo + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits((2 * ones > len(h)), bitorder="little").view(np.uint64)[0])
+
 
+def lowered(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(common.LOWER).split()
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, tkey, fp long) of each row of docs (doc_id, text); tkey, the text's xxhash64, tells rows of one doc_id apart."""
+
+def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
+    """Of lower-cased words, as an unsigned number."""
+    return majority(shingles(words, shingle))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+    """(doc_id, tkey, fp long) of each row of docs (doc_id, text), or f0 and f1 with width 2; tkey, the text's xxhash64, tells rows
+    of one doc_id apart."""
+    names = ["fp"] if width == 1 else [f"f{k}" for k in range(width)]
 
     def run(batches):
         for batch in common.sliced(batches):
-            fps = [fingerprint((t or "").encode().translate(common.LOWER).split(), shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "tkey", "fp"])
+            rows = [shingles(lowered(t), shingle) for t in batch.column("text").to_pylist()]
+            fps = [[majority(common.mixed(h ^ np.uint64(k)) if k else h) for h in rows] for k in range(width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in fps)], names=["doc_id", "tkey", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey")).mapInArrow(run, "doc_id long, tkey long, fp long")
+    schema = ", ".join(["doc_id long", "tkey long", *(f"{n} long" for n in names)])
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey")).mapInArrow(run, schema)
 
 
-def keys_of(classes: DataFrame) -> DataFrame:
-    """(key int, fp long): for each bit, that bit's segment without it, in 22 bits, and above them the number of the bit."""
-    lo = f"CASE WHEN p < {CUTS[1]} THEN {CUTS[0]} WHEN p < {CUTS[2]} THEN {CUTS[1]} ELSE {CUTS[2]} END"
-    mask = f"CASE WHEN p < {CUTS[2]} THEN {2**21 - 1}L ELSE {2**22 - 1}L END"
-    rows = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
-    return rows.select(F.expr(f"cast(shiftleft(cast(p as long), 22) | (shiftrightunsigned(fp, {lo}) & ({mask}) & ~shiftleft(1L, p - {lo})) as int)").alias("key"), "fp")
+def segment_of(bit: int, cuts: tuple) -> int:
+    return max(k for k in range(len(cuts) - 1) if cuts[k] <= bit)
 
 
-def first_key(x: np.ndarray) -> np.ndarray:
-    """The bit whose key is the first that two fingerprints with difference x share; 64 if they share none."""
-    out = np.full(len(x), 64, np.int64)
-    for lo, hi in reversed(list(zip(CUTS, CUTS[1:]))):
-        part = (x >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+def keys_of(classes: DataFrame, names: list[str], cuts: tuple = CUTS, extra: tuple = ()) -> DataFrame:
+    """(key int, names, extra): for each bit, that bit's segment without it, in 22 bits, and above them the number of the bit. No
+    segment may reach over two numbers or have over 22 bits."""
+    keys = []
+    for k in range(len(cuts) - 1):
+        name, lo, n = names[cuts[k] // 64], cuts[k] % 64, cuts[k + 1] - cuts[k]
+        part = f"(shiftrightunsigned({name}, {lo}) & {(1 << n) - 1}L)"
+        keys += [f"cast({(cuts[k] + j) << 22}L | ({part} & {((1 << n) - 1) & ~(1 << j)}L) as int)" for j in range(n)]
+    return classes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), *names, *extra)
+
+
+def first_key(x: np.ndarray, cuts: tuple = CUTS) -> np.ndarray:
+    """The bit whose key is the first that two fingerprints with difference x (rows of 64-bit numbers) share; cuts[-1] if none."""
+    out = np.full(len(x), cuts[-1], np.int64)
+    for lo, hi in reversed(list(zip(cuts, cuts[1:]))):
+        part = (x[:, lo // 64] >> np.uint64(lo % 64)) & np.uint64((1 << (hi - lo)) - 1)
         n = np.bitwise_count(part)
         out[n == 0] = lo
         one = n == 1
@@ -81,72 +120,113 @@ def first_key(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, p: np.ndarray, bits: int) -> np.ndarray:
+def linked(a: np.ndarray, b: np.ndarray, p, bits: int, cuts: tuple = CUTS) -> np.ndarray:
     """Verified links whose first common key is the one at hand, so that a link is found once."""
     x = a ^ b
-    ok = np.bitwise_count(x) <= bits
-    ok[ok] = first_key(x[ok]) == (p[ok] if isinstance(p, np.ndarray) else p)
+    ok = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= bits
+    ok[ok] = first_key(x[ok], cuts) == (p[ok] if isinstance(p, np.ndarray) else p)
     return ok
 
 
-def forest(fps: np.ndarray, p: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect a large group as all its links would: each fingerprint reached is compared with those not yet reached."""
-    left, us, vs = fps, [], []
+def forest(fps: np.ndarray, p: int, bits: int, cuts: tuple = CUTS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of edges that connect a group as all its links would: each one reached is compared with those not yet reached."""
+    left, us, vs = np.arange(len(fps)), [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             f = front.pop()
-            ok = linked(left, np.full(len(left), f), p, bits)
+            ok = linked(fps[left], fps[f][None, :], p, bits, cuts)
             if ok.any():
                 got = left[ok]
                 us.append(np.full(len(got), f))
                 vs.append(got)
                 front.extend(got)
                 left = left[~ok]
-    return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def neighbours(value: np.ndarray, fps: np.ndarray, p, bits: int, cuts: tuple, group: int):
+    """Edges among positions of equal value (sorted): all links of small runs, a forest of each large one."""
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    size = np.diff(np.append(begin, len(value)))
+    few = np.flatnonzero(np.repeat(size, size) <= group)
+    sv, sp = value[few], p[few] if isinstance(p, np.ndarray) else p
+    for step in range(1, int(size[size <= group].max(initial=1))):
+        at = np.flatnonzero(sv[step:] == sv[:-step])
+        if not len(at):
+            break
+        ok = linked(fps[few[at]], fps[few[at + step]], sp[at] if isinstance(sp, np.ndarray) else sp, bits, cuts)
+        yield few[at[ok]], few[at[ok] + step]
+    for at, n in zip(begin[size > group], size[size > group]):
+        yield at, n
 
 
-def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): links of distinct fingerprints; in a large group of one key, enough of them to keep it connected."""
-    if not 0 <= bits <= 4:
+def edges_of(keys: np.ndarray, fps: np.ndarray, bits: int, cuts: tuple = CUTS, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of edges among fingerprints with sorted keys."""
+    us, vs = [], []
+
+    def add(u, v):
+        us.append(u)
+        vs.append(v)
+
+    for a, b in neighbours(keys, fps, keys.astype(np.int64) >> 22, bits, cuts, group):
+        if isinstance(a, np.ndarray):
+            add(a, b)
+            continue
+        own, p = fps[a : a + b], int(keys[a]) >> 22
+        k = segment_of(p, cuts)
+        rest = [i for i in range(cuts[-1]) if not cuts[k] <= i < cuts[k + 1]]
+        pieces = np.array_split(rest, bits + 1)
+        if len(pieces[-1]) < LEAST_PIECE:
+            pieces = [[]]  # too short to tell anything apart
+        for piece in pieces:
+            value = np.zeros(b, np.uint64)
+            for i in piece:
+                value = (value << np.uint64(1)) | ((own[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))
+            order = np.argsort(value, kind="stable")
+            for u, v in neighbours(value[order], own[order], p, bits, cuts, group):
+                if not isinstance(u, np.ndarray):
+                    first, second = forest(own[order[u : u + v]], p, bits, cuts)
+                    u, v = u + first, u + second
+                add(a + order[u], a + order[v])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def links(classes: DataFrame, bits: int = BITS, names: tuple = ("fp",), cuts: tuple = CUTS, node: str = "fp") -> DataFrame:
+    """(u, v): links of distinct fingerprints, named by node; in a large group of one key, enough of them to keep it connected."""
+    if cuts == CUTS and not 0 <= bits <= 4:
         raise ValueError("three segments with one bit taken out find differences of up to 5 bits; the operator promises 4")
     n = classes.count()
-    keys = keys_of(classes)
-    keys = keys.repartition(max(8, -(-64 * n // PART_ROWS)), "key").sortWithinPartitions("key")
+    extra = () if node in names else (node,)
+    keys = keys_of(classes, list(names), cuts, extra)
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cuts[-1] * n // PART_ROWS))
+    keys = keys.repartition(parts, "key").sortWithinPartitions("key")
 
     def run(batches):
-        rest_k, rest_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        held, last = [], None  # parts of a group that may go on
         for batch in batches:
-            k = np.concatenate([rest_k, batch.column("key").to_numpy()])
-            f = np.concatenate([rest_f, batch.column("fp").to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
-            rest_k, rest_f = k[whole:], f[whole:]
-            yield from groups(k[:whole], f[:whole])
-        yield from groups(rest_k, rest_f)
-
-    def groups(k, f):
-        if len(k) < 2:
-            return
-        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(begin, len(k)))
-        of = np.repeat(size, size)
-        us, vs = [], []
-        few = of <= GROUP
-        sk, sf = k[few], f[few]
-        for step in range(1, int(size[size <= GROUP].max(initial=1))):
-            at = np.flatnonzero(sk[step:] == sk[:-step])
-            if not len(at):
-                break
-            a, b = sf[at], sf[at + step]
-            ok = linked(a, b, sk[at].astype(np.int64) >> 22, bits)
-            us.append(a[ok])
-            vs.append(b[ok])
-        for at, n in zip(begin[size > GROUP], size[size > GROUP]):
-            u, v = forest(f[at : at + n], int(k[at]) >> 22, bits)
-            us.append(u)
-            vs.append(v)
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
+            if not batch.num_rows:
+                continue
+            k = batch.column("key").to_numpy()
+            rows = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in (*names, *extra)])
+            whole = int(np.searchsorted(k, k[-1], "left"))
+            if k[-1] != last:
+                held.append((k[:whole], rows[:whole]))
+                yield from found(held)
+                held, last = [], k[-1]
+                k, rows = k[whole:], rows[whole:]
+            held.append((k, rows))
+        yield from found(held)
+
+    def found(held):
+        if sum(len(k) for k, _ in held) > 1:
+            k, rows = (np.concatenate(x) for x in zip(*held))
+            u, v = edges_of(k, np.ascontiguousarray(rows[:, : len(names)]), bits, cuts)
+            if len(u):
+                name = rows[:, -1].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[v])], names=["u", "v"])
 
     return keys.mapInArrow(run, "u long, v long")
 
@@ -164,12 +244,68 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return found.join(by_class, "fp").select("doc_id", "tkey", "fp", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """docs with one row of each component: the kept one, once where the row is repeated."""
-    stay = near_duplicates(docs, shingle, bits).filter("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_semi")
-    return kept.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__nth")
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those pairs (u, v) of texts (id, text) whose sets of shingles have a Jaccard similarity of `least` or more."""
+
+    def run(batches):
+        for batch in common.sliced(batches):
+            sets = [np.unique(shingles(lowered(t), shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h"])
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = common.written(texts.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, h array<long>"))
+    own = lambda c: sets.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"))
+    both = pairs.join(own("u"), "u").join(own("v"), "v")
+    common_ = F.size(F.array_intersect("hu", "hv"))
+    out = common.written(both.filter(common_ >= F.lit(least) * (F.size("hu") + F.size("hv") - common_)).select("u", "v"))
+    common.removed(sets)
+    return out
+
+
+def copies(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, root) by links of similarity `least` or more, of found (id, f0, f1). Candidates are verified in rounds, a few of each
+    class first; those whose ends are by then connected need no verifying, so large groups of copies cost little."""
+    classes = common.written(found.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")))
+    todo = links(classes, WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
+    todo = common.written(todo.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    sure = common.written(todo.limit(0))
+    roots, first = components(sure), FIRST
+    while todo.take(1):
+        nth = F.row_number().over(Window.partitionBy("u").orderBy("v"))
+        ranked = common.written(todo.withColumn("nth", nth))
+        more = similar(ranked.filter(F.col("nth") <= first).select("u", "v"), texts, shingle, least)
+        sure = common.written(sure.unionAll(more))
+        roots = components(sure)
+        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        rest = ranked.filter(F.col("nth") > first).join(at("u"), "u", "left").join(at("v"), "v", "left")
+        before, todo = todo, common.written(rest.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
+        common.removed(before, ranked)
+        first *= 8
+    return roots
+
+
+def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR) -> DataFrame:
+    """(doc_id, tkey, component_id, kept) as near_duplicates gives them, by similarity. Texts are named by 60 bits of their SHA-256."""
+    name = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    texts = docs.select(name.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = common.written(fingerprints(docs.select(name.alias("doc_id"), "text"), shingle, WIDE).select(F.col("doc_id").alias("id"), "f0", "f1"))
+    rows = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), name.alias("id")))
+    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    roots = copies(found, texts, shingle, least)
+    classes = rows.groupBy("id").agg(F.min(me).alias("least")).join(roots, F.col("id") == roots.node, "left")
+    tied = common.written(classes.select("id", "least", F.coalesce("root", "id").alias("root")))
+    smallest = common.written(tied.groupBy("root").agg(F.min("least").alias("first")))
+    by_class = common.written(tied.join(smallest, "root").select("id", "first"))
+    common.removed(found, tied, smallest)
+    return rows.join(by_class, "id").select("doc_id", "tkey", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """docs with one row of each component of what near_duplicates or near_copies gave: the kept one, once where it is repeated."""
+    stay = grouped.filter("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
+    keyed = docs.withColumn("__tkey", F.xxhash64("text"))
+    kept = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__tkey"]).drop("__tkey")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
