@@ -6,10 +6,15 @@ from all counts. The training set is every row but the held-out ones; all counts
 
 Counts travel in blocks. A block (some MB of text) is coded once as numbers of its distinct tokens; it asks each bucket of the
 key space for its distinct n-grams in one message, the bucket adds up what all blocks sent and answers in the same order. So
-an n-gram costs a few bytes for each block that has it, not a row for each place, and no task holds more than a bucket.
-
-Defined results: a null or empty text is one end token; a null doc_id counts as an empty text for the split; repeated rows are
-documents of their own; without training rows every known count is 0 and all weight is on the uniform estimate.
+an n-gram costs a few bytes for each block that has it, not a row for each place, and no task holds more than a bucket. A block
+asks at most FAN buckets and a bucket is asked by at most some FAN blocks: where the corpus has more of either, FAN blocks' asks
+for one bucket are merged, cut into FAN finer buckets and asked on from there (`totals`), level by level. The messages of every
+level are in proportion to the corpus.
+
+Words are told apart by 64-bit hashes that take in every byte (common.WordHash), pairs by hashes of those; among V distinct words
+about V**2 / 2**65 pairs share one. Defined results: a null or empty text is one end token; a null doc_id counts as an empty text
+for the split; repeated rows are documents of their own; a very long text is a block of its own; an empty table has no rows;
+without training rows every known count is 0 and all weight is on the uniform estimate; other columns are not carried along.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from . import common
 END, BEGIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 #: Tokens of the corpus for each bucket of the key space, about.
 BUCKET_TOKENS = 4_000_000
+#: Buckets that one block asks, blocks that are merged.
+FAN = 256
 BUCKETS, STEPS = 40, 8  # context-frequency buckets; steps of an octave in the histogram of ratios
 RATIOS = 64 * STEPS
 ROUNDS = 60
@@ -138,6 +145,52 @@ def answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket", "order").applyInPandas(run, "block string, bucket int, order int, totals binary, v long")
 
 
+def sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several lists, and the sum of each one's counts."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
+
+
+def totals(asked: DataFrame, blocks: int, buckets: list[int]) -> DataFrame:
+    """Answers to what `blocks` blocks ask of the first of several finer and finer numbers of buckets, each a multiple of the one before."""
+    if len(buckets) == 1:
+        return answered(asked)
+    groups, finer = max(1, -(-blocks // FAN)), buckets[1]
+    asked = common.written(asked.withColumn("src", F.concat_ws("/", F.pmod(F.xxhash64("block"), F.lit(groups)), "bucket")))
+
+    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = sums([unpacked_keys(x) for x in pdf["keys"]], [unpacked(x) for x in pdf["counts"]])
+        at = bounds(keys, finer)
+        full = np.flatnonzero(np.diff(at))
+        return pd.DataFrame({"block": key[0], "bucket": full, "order": key[1], "keys": [packed_keys(keys[at[k] : at[k + 1]]) for k in full], "counts": [packed(counts[at[k] : at[k + 1]]) for k in full]})
+
+    def answer(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked_keys(x) for x in own["keys"]]
+        every = np.unique(np.concatenate(keys))
+        got = got.sort_values("bucket")
+        total = np.concatenate([unpacked(x) for x in got["totals"]])
+        v = np.zeros(len(own), np.int64)
+        v[0] = int(got["v"].sum())
+        return pd.DataFrame({"block": own["block"].to_numpy(), "bucket": own["bucket"].to_numpy(), "order": own["order"].to_numpy(), "totals": [packed(total[np.searchsorted(every, k)]) for k in keys], "v": v})
+
+    on = asked.groupBy("src", "order").applyInPandas(ask, "block string, bucket int, order int, keys binary, counts binary")
+    got = common.written(totals(on, groups, buckets[1:]).withColumnRenamed("block", "src"))
+    return asked.groupBy("src", "order").cogroup(got.groupBy("src", "order")).applyInPandas(answer, "block string, bucket int, order int, totals binary, v long")
+
+
+def levels(buckets: int) -> list[int]:
+    """Numbers of buckets from the coarsest level to the finest."""
+    out = [buckets]
+    while out[0] > FAN:
+        out.insert(0, -(-out[0] // FAN))
+    for k in range(1, len(out)):
+        out[k] = out[k - 1] * FAN
+    return out
+
+
 def counted(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """For each block its rows and the corpus counts of each token, of the pair it ends and of its context."""
 
@@ -222,10 +275,11 @@ def weights(histogram: dict[int, int]) -> np.ndarray:
 def scores(docs: DataFrame, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
     blocks = common.written(encode(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))))
-    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
-    n, buckets = size["train"], max(1, -(-size["n"] // BUCKET_TOKENS))
-    answers = common.written(answered(asked(blocks, buckets)))  # the messages to the buckets go before the blocks move
+    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
+    n, buckets = size["train"], levels(max(1, -(-size["n"] // BUCKET_TOKENS)))
+    answers = common.written(totals(asked(blocks, buckets[0]), size["blocks"], buckets))  # the messages to the buckets go before the blocks move
     counts = common.written(counted(blocks, answers))
+    common.removed(answers, blocks)
     v = counts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()["v"]
     w = weights(histogram(counts, n, v))
 
@@ -235,9 +289,9 @@ def scores(docs: DataFrame, held: Column) -> DataFrame:
                 counts, held, first, c1, c2, before = terms(r)
                 lam = w[bucket(before)]
                 p = lam[:, 0] * c2 / np.maximum(before, 1) + lam[:, 1] * c1 / max(1, n) + lam[:, 2] / (v + 1)
-                sums = lambda x: np.add.reduceat(x, first)
+                by_row = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(unpacked(r["ids"]).view(np.int64), mask=(unpacked(r["held"]) > 1)), pa.array(held), pa.array(counts), pa.array(sums((c1 > 0).astype(np.int64))), pa.array(np.full(len(counts), n)), pa.array(sums(np.log10((c1 + 1) / (n + v + 1)))), pa.array(sums(np.log10(p)))],
+                    [pa.array(unpacked(r["ids"]).view(np.int64), mask=(unpacked(r["held"]) > 1)), pa.array(held), pa.array(counts), pa.array(by_row((c1 > 0).astype(np.int64))), pa.array(np.full(len(counts), n)), pa.array(by_row(np.log10((c1 + 1) / (n + v + 1)))), pa.array(by_row(np.log10(p)))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
