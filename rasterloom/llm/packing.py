@@ -5,9 +5,12 @@ has room, a bin is opened: the permitted length with the least cost for each tok
 weighs all lengths jointly against what is left to pack. In the end every bin shrinks to the shortest length that holds it.
 
 A document is `words + 1` tokens (the end of the document counts, so an empty or null text is one token); one longer than the
-longest bin is cut into pieces of that length and a rest. Documents are dealt by a hash of doc_id and text into groups of
-about GROUP pieces; groups are packed apart from each other, so a group fits a task and nothing grows with the table.
-Repeated rows are packed each.
+longest bin is cut into pieces of that length and a rest. Rows are dealt by a hash of their place in the table, so that repeated
+rows spread too, into groups of about GROUP pieces; groups are packed apart from each other, so a group fits a task and nothing
+grows with the table. Where each piece is dealt is written before it is packed, so that a task that is run again packs alike.
+
+Defined results: repeated rows and rows with null in any column are packed each; a very long text gives many pieces; an empty
+table has no bins; other columns of docs, whatever their names, are not carried along.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, price: Callable[[
 def pieces(docs: DataFrame, longest: int) -> DataFrame:
     """(doc_id, piece, first, size, dealt): docs (doc_id, text) cut to at most `longest` tokens."""
     tokens = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
-    cut = docs.select("doc_id", tokens.alias("tokens"), F.xxhash64("doc_id", "text").alias("dealt"))
+    cut = docs.select("doc_id", tokens.alias("tokens"), F.xxhash64(F.monotonically_increasing_id()).alias("dealt"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / longest))).alias("piece"))
     first = F.col("piece") * longest
     return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), first.alias("first"), F.least(F.col("tokens") - first, F.lit(longest)).cast("long").alias("size"), F.xxhash64("dealt", "piece").alias("dealt"))

@@ -7,13 +7,15 @@ an inner edge is left to the neighbour that sees it whole, and of spans that ove
 Pattern spans always stay; a tagger span that overlaps one is dropped.
 
 Offsets are code points, end exclusive. Defined results: null is empty; texts without spans give empty lists (sha256 of an empty
-text); repeated rows are worked on each; runs of digits of any length are handled in linear time.
+text); repeated rows are worked on each; runs of digits of any length are handled in linear time; an empty table has no rows and
+trains on made-up lines alone; columns named base or spans are replaced by the results, all others are carried along.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 GROUP = re.compile(r"(?<![0-9.@+-])[0-9]{14,19}(?![0-9@-])")
 TRIGGER = re.compile(r"[0-9@]")
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
+MOST_DIGITS = {"ip": 12, "card": 19, "phone": 15}
 
 
 def luhn(digits: str) -> bool:
@@ -101,7 +104,7 @@ class Windows:
         k = np.unique(np.concatenate([hit, np.maximum(hit - 1, 0)]))
         first = k * self.step
         at = first[:, None] + np.arange(self.span)
-        return first, np.where(at < len(kinds), kinds[np.minimum(at, len(kinds) - 1)], PAD)
+        return first, np.where(at < len(kinds), kinds[np.minimum(at, len(kinds) - 1)], PAD).astype(np.uint8)
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -120,14 +123,41 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def reconciled(base: list[tuple[int, int, int]], found: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int]]:
-    """base and the heaviest set of found spans that overlap neither it nor each other."""
-    ends = sorted((b, a, k, w) for (a, k, b), w in found.items() if not any(a < y and x < b for x, _, y in base))
-    best: list[tuple[float, list]] = [(0.0, [])]
+    """base and the heaviest set of found spans that overlap neither it nor each other, in n log n steps."""
+    taken: list[list[int]] = []  # what base covers, in order
+    for a, _, b in sorted(base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    lows = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(lows, b) - 1  # the last that begins before b
+        return k < 0 or taken[k][1] <= a
+
+    ends = sorted((b, a, k, w) for (a, k, b), w in found.items() if free(a, b))
+    stops = [e[0] for e in ends]
+    best, came = [0.0], []
     for i, (b, a, k, w) in enumerate(ends):
-        j = next((j for j in range(i, 0, -1) if ends[j - 1][0] <= a), 0)
-        with_it = best[j][0] + w
-        best.append((with_it, best[j][1] + [(a, k, b)]) if with_it > best[i][0] else best[i])
-    return sorted(base + best[-1][1])
+        j = bisect_right(stops, a, 0, i)
+        came.append(j if best[j] + w > best[i] else -1)
+        best.append(max(best[i], best[j] + w))
+    i, picked = len(ends), []
+    while i:
+        b, a, k, _ = ends[i - 1]
+        if came[i - 1] >= 0:
+            picked.append((a, k, b))
+        i = came[i - 1] if came[i - 1] >= 0 else i - 1
+    return sorted(base + picked)
+
+
+def parted(a: int, k: int, b: int, text: str) -> list[tuple[int, int, int]]:
+    """A span, or of one with more digits than its kind may have, those parts at white space that are of that kind by themselves."""
+    most = MOST_DIGITS.get(KINDS[k])
+    if most is None or sum(c.isdigit() for c in text[a:b]) <= most:
+        return [(a, k, b)]
+    return [(a + m.start(), k, a + m.end()) for m in re.finditer(r"\S+", text[a:b]) if KINDS[k] == "card" and m[0].isascii() and m[0].isdigit() and 14 <= len(m[0]) <= most and luhn(m[0])]
 
 
 def added(texts: list[str], base: list[list], model: Tagger, batch: int = 512) -> list[list[tuple[int, int, int]]]:
@@ -158,8 +188,8 @@ def added(texts: list[str], base: list[list], model: Tagger, batch: int = 512) -
                     sure = float(q[np.arange(a, b), tags[row, a:b]].mean())
                     body = text[first + a : first + b]
                     if sure >= SURE and sum(c.isdigit() for c in body) >= LEAST_DIGITS[KINDS[k]] and (k or "@" in body) and body == body.strip():
-                        key = (first + a, k, first + b)
-                        found[i][key] = max(found[i].get(key, 0.0), sure * (b - a))
+                        for key in parted(first + a, k, first + b, text):
+                            found[i][key] = max(found[i].get(key, 0.0), sure * (key[2] - key[0]))
     return [reconciled(x, y) for x, y in zip(base, found)]
 
 

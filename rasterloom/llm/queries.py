@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op4_substring": substring.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op9_search": search.ORACLE,
 }
