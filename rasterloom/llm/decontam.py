@@ -3,13 +3,15 @@
 Normal form: A-Z lower-cased, words are runs of bytes that are ASCII letters, digits or not ASCII, joined by one space. A
 window is `window` consecutive words of an item; a shorter item that has words is one window.
 
-Defined results: a null or empty text has no words and no hits; an item without words has no windows; a null item_id is
-named by an empty text; repeated rows are each scanned; empty tables give no hits.
+Words are told apart exactly. Defined results: a null or empty text has no words and no hits; a very long text is scanned as a whole; an item without words has no windows; a null item_id is
+named by an empty text, a null doc_id is carried along; repeated rows are each scanned; empty tables give no hits; columns named
+like a result are replaced by it, all others are carried along.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -21,8 +23,10 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 10
-#: Bytes of item text that one automaton may hold; more items take more automata, each run over the table.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text that one automaton may hold (some 0.5 GB); more items take more automata, one after the other.
+BLOCK_BYTES = 4 << 20
+#: Where the two symbols of a word begin (planes of private characters, which never meet), and those of an unknown word.
+FIRST_HIGH, FIRST_LOW, UNKNOWN = 0xF0000, 0x100000, "--"
 #: Upper case to lower case, bytes outside words to spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -37,33 +41,52 @@ def windows_of(words: list[bytes], window: int) -> list[list[bytes]]:
     return [words[i : i + window] for i in range(max(1, len(words) - window + 1))]
 
 
-def automaton(items: list[tuple[str, str | None]], window: int = WINDOW):
-    """Over ' w1 w2 ... ', so that a match begins and ends at words. Values: (words in the window, ids of its items)."""
-    known: dict[str, tuple[int, set[str]]] = {}
-    for name, text in items:
-        for run in windows_of(normal_words(text), window):
-            known.setdefault((b" " + b" ".join(run) + b" ").decode("latin-1"), (len(run), set()))[1].add(name)
-    machine = ahocorasick.Automaton()
-    for key, (n, names) in known.items():
-        machine.add_word(key, (n, tuple(sorted(names))))
-    machine.make_automaton()
-    return machine if known else None
+class Machine:
+    """The automaton of some items' windows.
 
+    It runs over words, not letters: each word of the items is two symbols, so that a window is a short path and no state has many
+    ways out; a word that no item has is a symbol that leads back to the start. Windows share beginnings; about 12 nodes of 40 bytes
+    are kept for each word of the items.
+    """
 
-def scan(machine, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-    """Which words lie in an occurrence of a window, and the items whose windows occur."""
-    hit, names = np.zeros(len(words), bool), set()
-    if machine is None or not words:
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        texts = [(name, normal_words(text)) for name, text in items]
+        vocabulary = sorted({w for _, words in texts for w in words})
+        base = max(1, math.isqrt(len(vocabulary)) + 1)
+        self.code = {w: chr(FIRST_HIGH + i // base) + chr(FIRST_LOW + i % base) for i, w in enumerate(vocabulary)}
+        known: dict[str, set[str]] = {}
+        for name, words in texts:
+            for run in windows_of([self.code[w] for w in words], window):
+                known.setdefault("".join(run), set()).add(name)
+        self.machine = ahocorasick.Automaton()
+        while known:
+            key, names = known.popitem()
+            self.machine.add_word(key, (len(key) // 2, tuple(sorted(names))))
+        self.some = len(self.machine) > 0
+        if self.some:
+            self.machine.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which words lie in an occurrence of a window, and the items whose windows occur."""
+        hit, names = np.zeros(len(words), bool), set()
+        if self.some and words:
+            get = self.code.get
+            for end, (n, ids) in self.machine.iter("".join([get(w, UNKNOWN) for w in words])):
+                hit[end // 2 + 1 - n : end // 2 + 1] = True
+                names.update(ids)
         return hit, names
-    normal = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    begins = None
-    for end, (n, ids) in machine.iter(normal):
-        if begins is None:  # the words' offsets, needed only where something is found
-            begins = np.cumsum([1, *(len(w) + 1 for w in words)])
-        last = int(np.searchsorted(begins, end, "right"))
-        hit[last - n : last] = True
-        names.update(ids)
-    return hit, names
+
+
+#: One automaton a worker: the last one made, by the name of its items.
+_MADE: dict = {}
+
+
+def machine(name: str, items: list[tuple[str, str | None]], window: int) -> Machine:
+    """A worker that goes on to another task, or to another batch, does not build its automaton again."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Machine(items, window)
+    return _MADE[name]
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -88,36 +111,53 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[t
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, spans: bool = False) -> DataFrame:
     """Adds n_words, n_hit, n_items, items (array of ids, sorted), and with spans=True hit_spans (runs in code points), to docs.
 
-    Each block's automaton is broadcast; blocks after the first rescan the text, and a row carries its hits from one to the next.
+    The items of each block (small by BLOCK_BYTES) are broadcast and a worker builds their automaton once. A second block is a second
+    pass over the rows, which carry their hits along as runs of words.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items", "hit_spans")]
     blocks = item_blocks(items, block_bytes)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    context = docs.sparkSession.sparkContext
+    inner = docs.select(*kept).schema.add("__hits", T.ArrayType(T.IntegerType())).add("__names", T.ArrayType(T.StringType()))
     schema = docs.select(*kept).schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items", T.ArrayType(T.StringType()))
     if spans:
         schema = schema.add("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType())))
 
-    def run(batches):
-        machines = [automaton(b.value, window) for b in shared]
-        for batch in batches:
-            n_words, n_hit, names, where = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = normal_words(text)
-                hit, found = np.zeros(len(words), bool), set()
-                for machine in machines:
-                    h, f = scan(machine, words)
-                    hit |= h
-                    found |= f
-                n_words.append(len(words))
-                n_hit.append(int(hit.sum()))
-                names.append(sorted(found))
-                if spans:
-                    where.append([list(x) for x in original_spans(text, hit)] if found else [])
-            cols = [batch.column(c) for c in kept] + [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string()))]
-            out = pa.RecordBatch.from_arrays(cols + ([pa.array(where, pa.list_(pa.list_(pa.int32())))] if spans else []), names=[f.name for f in schema])
-            yield out
-
-    return docs.select(*kept).mapInArrow(lambda b: run(common.sliced(b)), schema)
+    def scanned(shared, name: str, first: bool, last: bool):
+        def run(batches):
+            one = None
+            for batch in common.sliced(batches):
+                one = one or machine(name, shared.value, window)
+                n_words, n_hit, names, where = [], [], [], []
+                texts = batch.column("text").to_pylist()
+                before = [(None, None)] * len(texts) if first else zip(batch.column("__hits").to_pylist(), batch.column("__names").to_pylist())
+                for text, (edges, found_before) in zip(texts, before):
+                    words = normal_words(text)
+                    hit, found = one.scan(words)
+                    if edges:
+                        found.update(found_before)
+                        for a, b in zip(edges[::2], edges[1::2]):
+                            hit[a:b] = True
+                    n_words.append(len(words))
+                    n_hit.append(int(hit.sum()))
+                    names.append(sorted(found))
+                    if not last:
+                        where.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist() if found else [])
+                    elif spans:
+                        where.append([list(x) for x in original_spans(text, hit)] if found else [])
+                cols, ids = [batch.column(c) for c in kept], pa.array(names, pa.list_(pa.string()))
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(where, pa.list_(pa.int32())), ids], names=[f.name for f in inner])
+                    continue
+                cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), ids]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(where, pa.list_(pa.list_(pa.int32())))] if spans else []), names=[f.name for f in schema])
+
+        return run
+
+    out = docs.select(*kept)
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        out = out.mapInArrow(scanned(context.broadcast(block), uuid.uuid4().hex, k == 0, last), schema if last else inner)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from rasterloom.llm import decontam
@@ -39,3 +40,18 @@ def test_blocks_and_spans(spark):
 
 def test_empty(spark, empty_dir):
     assert decontam.query(spark, empty_dir).count() == 0
+
+
+def test_automaton_is_small_and_a_long_text_is_scanned(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(9000)]
+    item = [rng.choice(words) for _ in range(30_000)]
+    machine = decontam.Machine([("a", " ".join(item)), ("b", "two words"), ("c", None)])
+    assert machine.machine.get_stats()["nodes_count"] < 21 * len(item)
+    text = [rng.choice(words) for _ in range(200_000)]
+    text[1000:1012], text[5000:5009], text[7000:7002] = item[50:62], item[90:99], ["two", "words"]
+    hit, names = machine.scan([w.encode() for w in text])
+    assert names == {"a", "b"} and sorted(hit.nonzero()[0].tolist()) == [*range(1000, 1012), 7000, 7001]
+    docs = spark.createDataFrame([(None, " ".join(text)), (None, ""), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "two words")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontam.find(docs, items).collect()) == [(0, 0, 0), (0, 200_000, 14), (4, 0, 0)]
