@@ -121,3 +121,95 @@ def crc32_plain(data: bytes) -> int:
         for _ in range(8):
             out = (out << 1 ^ CRC_POLYNOMIAL) & 0xFFFFFFFF if out & 0x80000000 else out << 1 & 0xFFFFFFFF
     return out
+
+
+def translation_of(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column, shift: int) -> Column:
+    """Whole-sample offset (x, y) of a fixed-point map that is a pure translation, else null."""
+    unit = 1 << shift
+    plain = (a == unit) & (e == unit) & (b == 0) & (d == 0) & (c % unit == 0) & (f % unit == 0)
+    return F.when(plain, F.struct(F.shiftright(c.cast("long"), shift).alias("x"), F.shiftright(f.cast("long"), shift).alias("y")))
+
+
+# Fixed value: largest coefficient of a map.
+LARGEST_COEFFICIENT = 1 << 24
+
+
+def map_coefficient(v: Column, shift: int) -> Column:
+    """A real coefficient in fixed point: half rounds away from zero, what doesn't fit saturates."""
+    r = F.round(v * float(1 << shift), 0)
+    return F.greatest(F.lit(-float(LARGEST_COEFFICIENT)), F.least(F.lit(float(LARGEST_COEFFICIENT)), r)).cast("long")
+
+
+def ticks_per_second(num: Column, den: Column) -> Column:
+    """Of a time base of num / den seconds, or null if they are not whole."""
+    return F.when(den % num == 0, (den / num).cast("long"))
+
+
+def later(value: Column, num: Column, den: Column, ticks: Column, num2: Column, den2: Column) -> Column:
+    """A time and a duration on the same time base; null on another base or beyond 64 bits."""
+    total = value.cast("decimal(20,0)") + ticks.cast("decimal(20,0)")
+    return F.when((num == num2) & (den == den2) & (total <= F.lit(2**63 - 1).cast("decimal(20,0)")), total.cast("long"))
+
+
+def span(value: Column, num: Column, den: Column, value2: Column, num2: Column, den2: Column) -> Column:
+    """Ticks on the first base from the second time to the first, or null if they are not whole or not positive."""
+    ticks = value - rescale(value2, num2, den2, num, den)
+    return F.when(ticks > 0, ticks)
+
+
+def frame_ticks(rate_num: Column, rate_den: Column, num: Column, den: Column) -> Column:
+    """Ticks of a time base that a frame of a constant rate lasts, or null if they are not whole."""
+    return rescale(F.lit(1), rate_den, rate_num, num, den)
+
+
+# Bytes of a transition without its counted parts, and of each counted part (points, changes, samples, bytes).
+WIRE = {
+    0x21: (17, 0), 0x22: (13, 0), 0x23: (5, 9), 0x24: (25, 0), 0x25: (25, 0), 0x26: (13, 0), 0x27: (1, 0), 0x28: (1, 0), 0x29: (1, 0),
+    0x2A: (5, 1), 0x2B: (9, 17), 0x2C: (1, 0), 0x2D: (9, 1), 0x2E: (9, 2), 0x2F: (9, 0), 0x30: (29, 0),
+}
+# Fixed value: bytes that an accelerated segment has over a linear one.
+ACCELERATED = 8
+
+
+def wire_length(tag: Column, parts: Column, accelerated: Column | None = None) -> Column:
+    """Bytes of a transition with so many counted parts, accelerated segments among them; null for an unknown tag."""
+    table = F.create_map(*[F.lit(x) for k, (fixed, each) in WIRE.items() for x in (k, fixed * 1000 + each)])
+    both = table[tag.cast("int")]
+    out = F.expr("0") + F.floor(both / 1000) + (both % 1000) * parts
+    return (out if accelerated is None else out + ACCELERATED * accelerated).cast("long")
+
+
+def procedural_fraction(residual: Column, raster: Column, total: Column) -> Column:
+    """Share of a stream's bytes that is neither residual nor raster samples."""
+    return F.when(total == 0, F.lit(0.0)).otherwise(1.0 - (residual + raster) / F.when(total == 0, 1).otherwise(total))
+
+
+def profile_label(shift: Column, half_up: Column, filtered: Column) -> Column:
+    """Name of a lossy profile."""
+    return F.concat(F.lit("q"), shift.cast("string"), F.when(half_up, ":halfup").otherwise(":deadzone"), F.when(filtered, ":box3").otherwise(""))
+
+
+# Side data that has a type of its own.
+TYPED_SIDE_DATA = ("mastering_display", "content_light_level", "timecode")
+
+
+def side_data_class(kind: Column) -> Column:
+    """How side data is treated: known kinds are typed, all others are carried along without being understood."""
+    return F.when(kind.isin(*TYPED_SIDE_DATA), "typed").otherwise("unsupported")
+
+
+# Start and multiplier of the 64-bit FNV-1a hash.
+FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
+
+
+@F.pandas_udf(T.StringType())
+def fnv1a(data: pd.Series) -> pd.Series:
+    """64-bit FNV-1a of bytes, in 16 hexadecimal digits; rows are worked on together, a byte at a time."""
+    rows = [bytes(d) for d in data]
+    size = np.array([len(r) for r in rows])
+    h = np.full(len(rows), FNV_START, np.uint64)
+    flat, first = np.frombuffer(b"".join(rows), np.uint8), np.cumsum(size) - size
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        h[at] = (h[at] ^ flat[first[at] + k]) * np.uint64(FNV_FACTOR)
+    return pd.Series([f"{x:016x}" for x in h.tolist()])

@@ -48,3 +48,24 @@ def plans(wins: DataFrame) -> DataFrame:
     frames_seen = F.row_number().over(Window.partitionBy("stream_id").orderBy("frame"))
     plan = F.when(F.col("alpha"), "broaden").when(frames_seen % SWEEP == 0, "sweep").otherwise("trusted")
     return seen.withColumn("plan", plan).withColumn("trusted", F.array_join(F.array_sort(F.array_distinct("families")), ",")).select("stream_id", "frame", "plan", "trusted")
+
+
+# Families that a plan searches, those that make them trusted and how far, and how far a sweep probes them.
+MODES = ("clears", "translation", "copies", "regions", "transform", "generators")
+TRUSTED_BY = {"translation": (("translation",), "full"), "copies": (("copy_rect", "copy_residual"), "probe"), "regions": (("regions",), "full"), "transform": (("transform_residual",), "full"), "generators": (("generator", "generator_residual"), "full")}
+SWEPT = {"translation": "full", "copies": "probe", "regions": "probe", "transform": "probe", "generators": "probe"}
+#: The plan of a fixed heuristic, whatever has won.
+FIXED = {"clears": "off", "translation": "full", "copies": "probe", "regions": "probe", "transform": "probe", "generators": "probe"}
+
+
+def family_plans(wins: DataFrame) -> DataFrame:
+    """plans() with a column for each of MODES: off, probe or full. Broadening searches all in full; a family that has won
+    within the ring is searched as far as TRUSTED_BY says; a sweep probes the others; clears are only tried when broadening."""
+    out = plans(wins)
+    active = F.split("trusted", ",")
+    for mode in MODES:
+        families, how = TRUSTED_BY.get(mode, ((), "off"))
+        won = F.arrays_overlap(active, F.array(*[F.lit(f) for f in families])) if families else F.lit(False)
+        swept = F.lit(SWEPT.get(mode, "off"))
+        out = out.withColumn(mode, F.when(F.col("plan") == "broaden", "full").when(won, how).when(F.col("plan") == "sweep", swept).otherwise("off"))
+    return out

@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators, and their SQL."""
 
-from . import media, more, paint, planes, search, state
+from . import measures, media, more, paint, planes, search, state
 
-_MODULES = (state, paint, search, media, more, planes)
+_MODULES = (state, paint, search, media, more, planes, measures)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
