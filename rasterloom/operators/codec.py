@@ -148,3 +148,114 @@ def blocks_of(blobs: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = dict(blobs.dtypes)[key]
     return blobs.select(key, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).mapInPandas(run, f"{key} {kind}, n long, kind int, size long, exact boolean")
+
+
+# Kind of a transform block, number of its transform, and side of its squares.
+TRANSFORMED, LIFTING, SIDE = 2, 0, 4
+
+
+def _turn(a: np.ndarray, b: np.ndarray, m: tuple[int, int], back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """One lifting rotation or its inverse; shifts of signed numbers are floors both ways."""
+    p, q, s = m[0], m[1], scalar.TRANSFORM_SHIFT
+    if back:
+        a = a - (p * b >> s)
+        b = b - (q * a >> s)
+        return a - (p * b >> s), b
+    a = a + (p * b >> s)
+    b = b + (q * a >> s)
+    return a + (p * b >> s), b
+
+
+def _line(s: np.ndarray) -> np.ndarray:
+    """Four points along the last axis."""
+    a, b, c, d = np.moveaxis(s, -1, 0)
+    y0, y2 = _turn(a + d, b + c, scalar.EVEN, False)
+    y1, y3 = _turn(a - d, b - c, scalar.ODD, False)
+    return np.stack([y0, y1, y2, y3], axis=-1)
+
+
+def _unline(s: np.ndarray) -> np.ndarray:
+    a, b, c, d = np.moveaxis(s, -1, 0)
+    p0, p1 = _turn(a, c, scalar.EVEN, True)
+    p2, p3 = _turn(b, d, scalar.ODD, True)
+    return np.stack([p0 + p2 >> 1, p1 + p3 >> 1, p1 - p3 >> 1, p0 - p2 >> 1], axis=-1)
+
+
+def squares(grid: np.ndarray) -> np.ndarray:
+    """A grid as its 4 x 4 squares, row by row, with zeros beyond its edges."""
+    h, w = grid.shape
+    full = np.pad(grid, ((0, -h % SIDE), (0, -w % SIDE)))
+    return full.reshape(full.shape[0] // SIDE, SIDE, -1, SIDE).swapaxes(1, 2).reshape(-1, SIDE, SIDE)
+
+
+def transform_block(base: np.ndarray, target: np.ndarray) -> bytes:
+    """What must be added to base to make target: a bit for each square that changes, then the first coefficients and all others of
+    those squares, each stream a block of its own."""
+    all_squares = squares(target.astype(np.int64) - base.astype(np.int64))
+    coded = all_squares.any(axis=(1, 2))
+    lines = _line(all_squares[coded])
+    coefficients = _line(lines.swapaxes(1, 2)).swapaxes(1, 2).reshape(-1, SIDE * SIDE)
+    zigzag = np.where(coefficients >= 0, 2 * coefficients, -2 * coefficients - 1).astype("<u4")
+    streams = [block(zigzag[:, :1].tobytes()), block(zigzag[:, 1:].tobytes())]
+    sizes = b"".join(len(s).to_bytes(4, "little") for s in streams)
+    return bytes([TRANSFORMED, LIFTING]) + np.packbits(coded, bitorder="little").tobytes() + sizes + b"".join(streams)
+
+
+def mask_bytes(width: int, height: int) -> int:
+    return -(-(-(-width // SIDE) * -(-height // SIDE)) // 8)
+
+
+def checked_transform(data: bytes, width: int, height: int) -> tuple[np.ndarray, bytes, bytes]:
+    """Which squares a transform block codes and its two streams, not yet decoded; a ValueError names what is wrong."""
+    down, n = -(-height // SIDE), -(-width // SIDE) * -(-height // SIDE)
+    at = 2 + mask_bytes(width, height)
+    if len(data) < at + 8:
+        raise ValueError("truncated")
+    if data[0] != TRANSFORMED or data[1] != LIFTING:
+        raise ValueError("unknown transform")
+    bits = np.unpackbits(np.frombuffer(data[2:at], np.uint8), bitorder="little").astype(bool)
+    if bits[n:].any():
+        raise ValueError("mask padding")
+    first, rest = (int.from_bytes(data[at + k : at + k + 4], "little") for k in (0, 4))
+    if min(first, rest) < 9 or at + 8 + first + rest != len(data):
+        raise ValueError("bad transform length")
+    return bits[:n].reshape(down, -1), data[at + 8 : at + 8 + first], data[at + 8 + first :]
+
+
+def transform_delta(data: bytes, width: int, height: int) -> np.ndarray:
+    """What a transform block adds to a canvas."""
+    coded, first, rest = checked_transform(data, width, height)
+    n = int(coded.sum())
+    first, rest = (np.frombuffer(unblock(s), np.uint8) for s in (first, rest))
+    if len(first) != 4 * n or len(rest) != 60 * n:
+        raise ValueError("coefficient count")
+    z = np.concatenate([first.view("<u4").reshape(n, 1), rest.view("<u4").reshape(n, 15)], axis=1).astype(np.int64)
+    c = np.where(z & 1, -(z >> 1) - 1, z >> 1).reshape(n, SIDE, SIDE)
+    out = np.zeros((coded.size, SIDE, SIDE), np.int64)
+    out[coded.ravel()] = _unline(_unline(c.swapaxes(1, 2)).swapaxes(1, 2))
+    down, across = coded.shape
+    return out.reshape(down, across, SIDE, SIDE).swapaxes(1, 2).reshape(down * SIDE, across * SIDE)[:height, :width]
+
+
+# Points of a residual, and those of deeper samples.
+POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("v", "u1")])
+DEEP_POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("v", "<u2")])
+
+
+def point_block(x: np.ndarray, y: np.ndarray, v: np.ndarray, deep: bool = False) -> bytes:
+    """Points in rising order of x, then y."""
+    out = np.zeros(len(x), DEEP_POINT if deep else POINT)
+    order = np.lexsort((y, x))
+    out["x"], out["y"], out["v"] = x[order], y[order], v[order]
+    return block(out.tobytes())
+
+
+def points_of(data: bytes, deep: bool = False) -> np.ndarray:
+    raw, kind = unblock(data), DEEP_POINT if deep else POINT
+    if len(raw) % kind.itemsize:
+        raise ValueError("point length")
+    points = np.frombuffer(raw, kind)
+    key = points["x"].astype(np.int64) << 32 | points["y"].astype(np.int64) & 0xFFFFFFFF
+    if (np.diff(key) <= 0).any():
+        raise ValueError("points do not rise")
+    return points

@@ -25,6 +25,15 @@ class Scene:
         self.palettes: dict[int, list[int]] = {}
         self.bound: dict[int, int] = {}
 
+    def copy(self) -> Scene:
+        """A scene of its own state; objects are never changed and are shared. Programs must not have begun."""
+        out = Scene(self.shape[1], self.shape[0])
+        out.background, out.objects = self.background, dict(self.objects)
+        out.instances = {k: list(v) for k, v in self.instances.items()}
+        out.palettes = {k: list(v) for k, v in self.palettes.items()}
+        out.overlay, out.motion, out.bound = dict(self.overlay), dict(self.motion), dict(self.bound)
+        return out
+
     def declare(self, tag: int, args: list[int], data: bytes) -> None:
         if tag == c.PALETTE:
             self.palettes[args[0]] = list(data)
@@ -176,9 +185,17 @@ def on_canvas(canvas: np.ndarray, before: np.ndarray, tag: int, args: list[int],
             target[dy + top : dy + bottom, dx + left : dx + right] = True
         return np.where(target, moved, canvas)
     if tag == 0x2A:
-        points = np.frombuffer(codec.unblock(data), np.dtype([("x", "<i4"), ("y", "<i4"), ("v", "u1")]))
-        out = canvas.copy()
-        if len(points) and not ((points["x"] >= 0) & (points["x"] < canvas.shape[1]) & (points["y"] >= 0) & (points["y"] < canvas.shape[0])).all():
+        out, (height, width) = canvas.copy(), canvas.shape
+        try:
+            if data[:1] == bytes([codec.TRANSFORMED]):
+                total = canvas + codec.transform_delta(data, width, height)
+                if total.min() < 0 or total.max() > 255:
+                    raise ValueError("sample out of range")
+                return total.astype(np.uint8)
+            points = codec.points_of(data)
+        except ValueError as e:
+            raise c.Breach(str(e)) from e
+        if len(points) and not ((points["x"] >= 0) & (points["x"] < width) & (points["y"] >= 0) & (points["y"] < height)).all():
             raise c.Breach("residual point outside the canvas")
         out[points["y"], points["x"]] = points["v"]
         return out
