@@ -176,8 +176,8 @@ def raw_reader(spark, sf_dir):
 RAW_READER = f"WITH {FRAMES} SELECT CAST(stream_id AS VARCHAR) AS path, frame, CAST(sum(v * (y * 8 + x + 1)) AS BIGINT) AS weighted FROM fr WHERE frame < 2 GROUP BY ALL"
 
 
-def containers(spark, sf_dir):
-    """Each stream's log as a container of its own, read back: transitions by tag, and the last byte read."""
+def container_files(spark, sf_dir):
+    """Each stream's log as a container of its own: path, content."""
     rows = log(spark, sf_dir).select("stream_id", "t", "op", (F.col("event_id") % 64).alias("x"), (F.col("k") % 48).alias("y"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,8 +187,12 @@ def containers(spark, sf_dir):
         data = container.write(64, 48, [(container.FILL, [1, 8, 6, 200], b""), (container.CHECKPOINT, [0, 1, 1, 0, 0], b"")], groups)
         return pd.DataFrame({"path": [str(pdf["stream_id"].iloc[0])], "content": [data]})
 
-    files = rows.groupBy("stream_id").applyInPandas(build, "path string, content binary")
-    parsed = container.from_binary(files)
+    return rows.groupBy("stream_id").applyInPandas(build, "path string, content binary")
+
+
+def containers(spark, sf_dir):
+    """The containers read back: transitions by tag, and the last byte read."""
+    parsed = container.from_binary(container_files(spark, sf_dir))
     count = lambda tag: F.count(F.when(F.col("tag") == tag, 1))
     return parsed.groupBy("path").agg(F.count("error").alias("errors"), count(0x22).alias("place"), count(0x26).alias("velocity"), count(0x27).alias("advance"), count(0x23).alias("patch"), count(0x29).alias("clear"), F.max(F.col("offset") + F.col("length")).alias("bytes"))
 
@@ -213,20 +217,6 @@ def scripts(spark, sf_dir):
 SCRIPTS = "SELECT CAST(p_partkey AS VARCHAR) AS name, p_partkey % 9 = 0 AS wrong, CASE WHEN p_partkey % 9 <> 0 THEN 8 END AS records, CASE WHEN p_partkey % 9 <> 0 THEN 2 + p_partkey % 3 END AS last FROM part"
 
 
-def packetize(spark, sf_dir):
-    """Packets of each stream: header, object and checkpoint, then a packet for every five transitions, then the digest."""
-    rows = log(spark, sf_dir).groupBy("stream_id", F.expr("(t - 1) div 5").alias("g")).agg(F.count("*").alias("n"))
-    body = rows.select("stream_id", F.lit("interval").alias("kind"), (F.col("g") + 10).alias("ord"), (13 * F.col("n")).alias("size"))
-    ends = rows.select("stream_id").distinct().select("stream_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(o).cast("long").alias("ord"), F.lit(n).cast("long").alias("size")) for k, o, n in (("header", 0, 24), ("object", 1, 14), ("checkpoint", 2, 22), ("integrity", 1 << 40, 32))])).alias("e")).select("stream_id", "e.*")
-    seq = F.row_number().over(Window.partitionBy("stream_id").orderBy("ord")) - 1
-    return body.unionByName(ends).select("stream_id", seq.cast("long").alias("seq"), "kind", (F.col("size") + 13).alias("framed"))
-
-
-PACKETIZE = f"""WITH {LOG}, g AS (SELECT stream_id, (t - 1) // 5 AS g, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT stream_id, max(g) AS g FROM g GROUP BY stream_id)
-SELECT stream_id, g + 3 AS seq, 'interval' AS kind, 13 * n + 13 AS framed FROM g UNION ALL SELECT stream_id, 0, 'header', 37 FROM m UNION ALL SELECT stream_id, 1, 'object', 27 FROM m
-UNION ALL SELECT stream_id, 2, 'checkpoint', 35 FROM m UNION ALL SELECT stream_id, g + 4, 'integrity', 45 FROM m"""
-
-
 def receiver_states(spark, sf_dir):
     """The receiver over packets with gaps: what it applies and refuses."""
     kind = F.when(F.col("seq") == 0, "header").when(F.col("seq") == 1, "object").when(F.col("seq") == 2, "checkpoint").otherwise("interval")
@@ -303,7 +293,6 @@ _ALL = {
     "o9_8_strategy_comparison": (strategies, _strategies_sql()),
     "o10_5_generator_substitution": (substitution, SUBSTITUTION),
     "o11_9_frame_hashes": (frame_hashes, FRAME_HASHES),
-    "o12_1_packetize": (packetize, PACKETIZE),
     "o12_6_receiver_states": (receiver_states, RECEIVER_STATES),
     "o14_3_lossy_proof": (lossy_proof, LOSSY_PROOF),
 }

@@ -101,6 +101,53 @@ def write(width: int, height: int, records: list[tuple], groups: list[tuple], fe
     return out + digest(out)
 
 
+# Feature bits of streams whose payloads are in a store, and whose content was quantised.
+EXTERNAL_OBJECTS, QUANTIZED = 1, 2
+
+
+def features(data: bytes, magic: bytes = MAGIC) -> int:
+    at = len(magic) + 7
+    return int.from_bytes(data[at : at + 4], "little")
+
+
+def declares_quantized(data: bytes, magic: bytes = MAGIC) -> bool:
+    return bool(features(data, magic) & QUANTIZED)
+
+
+def marked_quantized(data: bytes, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = blake3) -> bytes:
+    """The container with the mark of quantised content, sealed again. One whose payloads are in a store is refused."""
+    for _ in read(data, magic, digest):
+        pass
+    if features(data, magic) & EXTERNAL_OBJECTS:
+        raise Breach("store-backed")
+    at = len(magic) + 7
+    out = data[:at] + (features(data, magic) | QUANTIZED).to_bytes(4, "little") + data[at + 4 : -32]
+    return out + digest(out)
+
+
+def scan(data: bytes, magic: bytes = MAGIC) -> list[tuple[str, int | None, int | None, int, int]]:
+    """(kind, id, t, offset, length) of the top-level records, the digest at the end included. Only lengths are followed: no
+    digest, id or order is checked."""
+    cur = Cursor(data, len(data) - 32)
+    if cur.take(len(magic)) != magic:
+        raise Breach("magic")
+    cur.pull("HIBIII")
+    out = [("header", None, None, 0, cur.at)]
+    while cur.at < cur.end:
+        start = cur.at
+        (tag,) = cur.pull("B")
+        if tag == GROUP:
+            t, count = cur.pull("QI")
+            for _ in range(count):
+                _transition(cur)
+            out.append(("interval", None, t, start, cur.at - start))
+            continue
+        args, _ = _record(cur, tag)
+        kind = "checkpoint" if tag in (CHECKPOINT, CHECKPOINT_BOUND) else "palette" if tag == PALETTE else "object"
+        out.append((kind, None if kind == "checkpoint" else args[0], None, start, cur.at - start))
+    return [*out, ("integrity", None, None, cur.at, 32)]
+
+
 def read(data: bytes, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = blake3) -> Iterator[tuple]:
     """(ord, tag, t, args, data, offset, length) of each record and transition; raises Breach. The digest is checked last."""
     cur = Cursor(data, len(data) - 32)
