@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import lossy
-from ..sources import decode, encode
+from ..sources import decode, encode, view
 from ..sources import frames as raw
 from .adapters import FRAMES, frames, read
 
@@ -164,7 +164,30 @@ def lossy_encode(spark, sf_dir):
 LOSSY_ENCODE = f"""WITH {FRAMES}, b AS (SELECT stream_id, frame, y, x, (coalesce(lag(v) OVER w, v) + 2 * v + coalesce(lead(v) OVER w, v) + 2) // 4 AS v FROM fr WINDOW w AS (PARTITION BY vec_id, y ORDER BY x))
 SELECT CAST(stream_id AS BIGINT) AS stream_id, frame, CAST(sum(least(255, (v + 4) // 8 * 8) * (y * 8 + x + 1)) AS BIGINT) AS weighted FROM b GROUP BY ALL"""
 
+#: The box of a view, and its frame.
+BOX, AT = (8, 4, 20, 14), 5
+
+
+def views(spark, sf_dir):
+    """A box of the last frame of four kinds of movies, one of them through five copies: checksum and work. Going back, the box of
+    the scroll moves by three a frame and wraps around the edge for the last three."""
+    files = encode.encoded(movies(spark, sf_dir).filter(F.col("stream_id") % len(KINDS) < 4)).select("path", "content")
+    got = view.viewed(files, AT, BOX)
+    dense = raw.dense(got.select("path", "samples"), BOX[2] - BOX[0])
+    sums = dense.groupBy("path").agg(F.sum(F.col("v") * (F.col("y") * 12 + F.col("x") + 1)).cast("long").alias("weighted"))
+    return got.join(sums, "path").select(F.col("path").cast("long").alias("stream_id"), "w", "h", "weighted", "replayed", "levels", "base", "copied", "objects", "peak", "spans")
+
+
+_V = _T.replace("x", "(x + 8)").replace("y", "(y + 4)")
+_VX = _TX.replace("x - 3", "x + 8 - 3").replace("y", "(y + 4)")
+_VDOT = "(x + 8, y + 4) IN ((2, 1), (5, 3), (9, 9))"
+VIEWS = f"""WITH g AS (SELECT s_suppkey AS s, s_suppkey % {len(KINDS)} AS k, 5 AS f, x, y FROM supplier, range(0, 12) b(x), range(0, 10) c(y) WHERE s_suppkey % {len(KINDS)} < 4)
+SELECT s AS stream_id, CAST(12 AS INTEGER) AS w, CAST(10 AS INTEGER) AS h, CAST(sum((y * 12 + x + 1) * CASE WHEN k = 2 THEN {_VX} WHEN k = 3 THEN 7 * s % 250 + 1 WHEN {_VDOT} AND k = 1 THEN 255 ELSE {_V} END) AS BIGINT) AS weighted,
+CAST(6 AS BIGINT) AS replayed, CAST(any_value(CASE WHEN k = 2 THEN 6 ELSE 1 END) AS BIGINT) AS levels, CAST(any_value(CASE k WHEN 1 THEN 241 WHEN 3 THEN 120 ELSE 240 END) AS BIGINT) AS base,
+CAST(any_value(CASE WHEN k = 2 THEN 5 * 120 ELSE 0 END) AS BIGINT) AS copied, CAST(any_value(CASE WHEN k = 3 THEN 0 ELSE 1 END) AS BIGINT) AS objects, CAST(any_value(CASE WHEN k = 2 THEN 320 ELSE 120 END) AS BIGINT) AS peak, CAST(any_value(CASE WHEN k = 2 THEN 3 * 10 + 3 * 20 ELSE 10 END) AS BIGINT) AS spans FROM g GROUP BY s"""
+
 _ALL = {
+    "o13_4_view_through_copies": (views, VIEWS),
     "o8_encoder_choice": (choice, CHOICE),
     "o15_9_movies_decoded": (decoded, DECODED),
     "o8_12_swept_backgrounds": (background, BACKGROUND),
