@@ -11,13 +11,15 @@ from . import common
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours are moved to its smallest one: the larger neighbours (large) or the smaller ones and itself."""
     pairs = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    least = common.written(pairs.groupBy("u").agg(F.min("v").alias("m")))  # so that the join is of plain exchanges, whose hubs Spark can split
     joined = pairs.join(least, "u")
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    out = common.written(moved.filter("u <> v").distinct())
+    common.removed(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = common.written(_star(_star(edges, True), False))
+        large = _star(edges, True)
+        edges, old = _star(large, False), edges
+        common.removed(large, old)
         after = state(edges)
         if after == before:
             break

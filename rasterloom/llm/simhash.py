@@ -40,8 +40,8 @@ PART_ROWS, LEAST_PIECE = 2_000_000, 6
 
 
 #: Of the search by similarity: words of a shingle, least similarity, bits that candidates may differ in, words of 64 bits, first
-#: bit of each segment and the end, and how many candidates of a class are verified in the first round.
-WORDS, SIMILAR, WIDE_BITS, WIDE, WIDE_CUTS, FIRST = 5, 0.8, 30, 2, tuple(range(0, 129, 16)), 4
+#: bit of each segment and the end.
+WORDS, SIMILAR, WIDE_BITS, WIDE, WIDE_CUTS = 5, 0.8, 30, 2, tuple(range(0, 129, 16))
 
 
 def shingles(words: list[bytes], shingle: int) -> np.ndarray:
@@ -244,43 +244,56 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return found.join(by_class, "fp").select("doc_id", "tkey", "fp", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those pairs (u, v) of texts (id, text) whose sets of shingles have a Jaccard similarity of `least` or more."""
+def shingle_sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, h): the distinct shingles of the texts (id, text) that ids asks for."""
 
     def run(batches):
         for batch in common.sliced(batches):
             sets = [np.unique(shingles(lowered(t), shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h"])
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = common.written(texts.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, h array<long>"))
+    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, h array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (u, v) whose sets have a Jaccard similarity of `least` or more; two empty sets are alike."""
     own = lambda c: sets.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"))
     both = pairs.join(own("u"), "u").join(own("v"), "v")
-    common_ = F.size(F.array_intersect("hu", "hv"))
-    out = common.written(both.filter(common_ >= F.lit(least) * (F.size("hu") + F.size("hv") - common_)).select("u", "v"))
-    common.removed(sets)
-    return out
+    shared = F.size(F.array_intersect("hu", "hv"))
+    return both.filter(shared >= F.lit(least) * (F.size("hu") + F.size("hv") - shared)).select("u", "v")
 
 
 def copies(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(node, root) by links of similarity `least` or more, of found (id, f0, f1). Candidates are verified in rounds, a few of each
-    class first; those whose ends are by then connected need no verifying, so large groups of copies cost little."""
+    """(node, root) by links of similarity `least` or more, of found (id, f0, f1).
+
+    Every class ranks its candidates. They are verified in rounds, first the first of each class, then the second, the third and
+    fourth and so on; those whose ends are connected by then need no verifying, so large groups of copies cost little. All of the
+    others are verified.
+    """
     classes = common.written(found.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")))
     todo = links(classes, WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
-    todo = common.written(todo.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sure = common.written(todo.limit(0))
-    roots, first = components(sure), FIRST
-    while todo.take(1):
-        nth = F.row_number().over(Window.partitionBy("u").orderBy("v"))
-        ranked = common.written(todo.withColumn("nth", nth))
-        more = similar(ranked.filter(F.col("nth") <= first).select("u", "v"), texts, shingle, least)
-        sure = common.written(sure.unionAll(more))
-        roots = components(sure)
+    todo = todo.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ranked = common.written(todo.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("v"))))
+    sets = common.written(shingle_sets(ranked.select(F.explode(F.array("u", "v")).alias("id")).distinct(), texts, shingle))
+    most = ranked.agg(F.coalesce(F.max("nth"), F.lit(0)).alias("n")).first()["n"]
+    sure = common.written(ranked.select("u", "v").limit(0))
+    roots, low, high = common.written(components(sure)), 0, 1
+    while low < most:
         at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        rest = ranked.filter(F.col("nth") > first).join(at("u"), "u", "left").join(at("v"), "v", "left")
-        before, todo = todo, common.written(rest.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
-        common.removed(before, ranked)
-        first *= 8
+        batch = ranked.filter((F.col("nth") > low) & (F.col("nth") <= high)).select("u", "v")
+        if low:
+            batch = batch.join(at("u"), "u", "left").join(at("v"), "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+        batch = common.written(batch)
+        if batch.take(1):
+            more = common.written(similar(batch, sets, least))
+            if more.take(1):
+                sure, before = common.written(sure.unionAll(more)), (sure, roots)
+                roots = common.written(components(sure))
+                common.removed(*before)
+            common.removed(more)
+        common.removed(batch)
+        low, high = high, high * 2
+    common.removed(classes, ranked, sets, sure)
     return roots
 
 
