@@ -22,10 +22,11 @@ def contents(blobs: DataFrame) -> DataFrame:
 
 def published(blobs: DataFrame) -> DataFrame:
     """New and reused objects of each root, in publishing order: the first to publish a content stores it."""
-    first = blobs.groupBy("cid").agg(F.min("seq").alias("first"))
-    marked = blobs.join(first, "cid")
-    new = F.col("seq") == F.col("first")
-    return marked.groupBy("root").agg(F.count(F.when(new, 1)).alias("new"), F.count(F.when(~new, 1)).alias("reused"), F.coalesce(F.sum(F.when(new, F.col("bytes"))), F.lit(0)).alias("stored"))
+    first = blobs.groupBy("cid").agg(F.min_by(F.struct("root", "bytes"), "seq").alias("b")).select("b.root", "b.bytes")
+    new = first.groupBy("root").agg(F.count("*").alias("new"), F.sum("bytes").alias("stored"))
+    every = blobs.groupBy("root").agg(F.count("*").alias("n"))  # no content, however frequent, meets its copies in a join
+    fresh = F.coalesce("new", F.lit(0))
+    return every.join(new, "root", "left").select("root", fresh.alias("new"), (F.col("n") - fresh).alias("reused"), F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
 def accounting(blobs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import archive, container
+from ..sources import archive, blobs, container
 from .adapters import LOG, read
 from .more import container_files
 
@@ -139,7 +139,91 @@ PREFIX_DIGESTS = f"""WITH {RECORDS}, m AS (SELECT stream_id, stream_id % 4 AS k,
 SELECT CAST(stream_id AS VARCHAR) AS path, CASE k WHEN 1 THEN 5 WHEN 3 THEN n + 3 ELSE n + 4 END AS applied, k IN (0, 2) AS complete, k = 0 AS verified, CASE WHEN k = 1 THEN 3 ELSE n + 1 END AS playable,
 {_START + 32} + CASE WHEN k = 1 THEN early ELSE b END AS bytes FROM m"""
 
+def _with_rasters(spark, sf_dir):
+    """A container for each supplier: a raster of one of twenty contents, a fill of one of seven, both placed."""
+
+    def run(batches):
+        for pdf in batches:
+            made = []
+            for s in pdf["s_suppkey"]:
+                raster = bytes((x * 7 + y * 11 + s % 20) % 256 for y in range(4) for x in range(6))
+                records = [(container.RASTER, [1, 6, 4], raster), (container.FILL, [2, 3, 3, int(s) % 7], b""), (container.CHECKPOINT, [0, 1, 1, 0, 0, 2, 2, 5, 5], b"")]
+                made.append(container.write(16, 12, records, [(1, [(0x22, [1, int(s) % 9, 2], b"")])]))
+            yield pd.DataFrame({"path": pdf["s_suppkey"].astype(str), "content": made})
+
+    return read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "path string, content binary")
+
+
+def external_store(spark, sf_dir):
+    """Containers whose payloads move to a store: what the store holds, and how often each content is referred to."""
+    out = blobs.outsourced(_with_rasters(spark, sf_dir), digest=sha).select(F.explode("payloads").alias("p")).select("p.cid", "p.payload")
+    return out.groupBy("cid").agg(F.count("*").alias("references"), F.max(F.octet_length("payload")).cast("long").alias("bytes"))
+
+
+_RASTER = "'01' || '0600000004000000' || (SELECT string_agg(printf('%02X', CAST((x * 7 + y * 11 + k) % 256 AS INTEGER)), '' ORDER BY y, x) FROM range(0, 6) a(x), range(0, 4) b(y))"
+EXTERNAL_STORE = f"""WITH r AS (SELECT k, {_RASTER} AS h FROM range(0, 20) q(k)),
+c AS (SELECT h FROM supplier JOIN r ON k = s_suppkey % 20 UNION ALL SELECT '02' || '0300000003000000' || printf('%02X', CAST(s_suppkey % 7 AS INTEGER)) FROM supplier)
+SELECT sha256(unhex(h)) AS cid, count(*) AS "references", CAST(any_value(length(h) // 2) AS BIGINT) AS bytes FROM c GROUP BY h"""
+
+
+def external_fetch(spark, sf_dir):
+    """Containers resolved against a store that has lost one content and has a changed byte in another."""
+    own = _with_rasters(spark, sf_dir)
+    out = blobs.outsourced(own, digest=sha)
+    store = out.select(F.explode("payloads").alias("p")).select("p.cid", "p.payload").dropDuplicates(["cid"])
+    lost = F.sha2(F.unhex(F.lit("02030000000300000003")), 256)
+    bad = F.sha2(F.unhex(F.lit("02030000000300000005")), 256)
+    store = store.filter(F.col("cid") != lost).withColumn("payload", F.when(F.col("cid") == bad, F.unhex(F.lit("02030000000300000006"))).otherwise(F.col("payload")))
+    got = blobs.fetched(out.select("path", "content"), store, digest=sha)
+    same = got.join(own.select("path", F.col("content").alias("was")), "path")
+    # sealed by another digest than the original: all but the last 32 bytes must be equal
+    body = lambda c: F.expr(f"substring({c}, 1, octet_length({c}) - 32)")
+    return same.select("path", "error", (body("content") == body("was")).alias("exact"))
+
+
+EXTERNAL_FETCH = "SELECT CAST(s_suppkey AS VARCHAR) AS path, CASE s_suppkey % 7 WHEN 3 THEN 'missing' WHEN 5 THEN 'integrity' END AS error, CASE WHEN s_suppkey % 7 NOT IN (3, 5) THEN true END AS exact FROM supplier"
+
+
+def store_logs(spark, sf_dir):
+    """Store logs of which some are damaged: what opening them finds."""
+
+    def run(batches):
+        for pdf in batches:
+            made = []
+            for s in pdf["s_suppkey"]:
+                log, _ = blobs.appended(b"", [b"a" * (int(s) % 11), b"b%d" % s, b"a" * (int(s) % 11)], sha)
+                again = log + log[5:] if s % 5 == 1 else log[:-1] if s % 5 == 2 else log[:-1] + b"x" if s % 5 == 3 else b"X" + log[1:] if s % 5 == 4 else log
+                made.append(again)
+            yield pd.DataFrame({"path": pdf["s_suppkey"].astype(str), "content": made})
+
+    logs = read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "path string, content binary")
+    rows = blobs.records(logs, sha)
+    return rows.groupBy("path").agg(F.max("error").alias("error"), F.count("cid").alias("records"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+STORE_LOGS = """SELECT CAST(s_suppkey AS VARCHAR) AS path, CASE s_suppkey % 5 WHEN 1 THEN 'twice' WHEN 2 THEN 'truncated' WHEN 3 THEN 'integrity' WHEN 4 THEN 'bad header' END AS error,
+CAST(CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS records, CAST(CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 11 + 1 + length(CAST(s_suppkey AS VARCHAR)) ELSE 0 END AS BIGINT) AS bytes FROM supplier"""
+
+
+def store_put_get(spark, sf_dir):
+    """Texts put into a store that has those of English documents; then every document asks for its own, with a bound."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    have = docs.filter("lang = 'en'").select(F.sha2("payload", 256).alias("cid"), "payload").dropDuplicates(["cid"])
+    fresh = blobs.put(have, docs.select(F.col("doc_id").alias("seq"), "payload"))
+    whole = have.unionByName(fresh.select("cid", "payload"))
+    got = blobs.get(whole, docs.select(F.col("doc_id").alias("name"), F.sha2("payload", 256).alias("cid")), 4000)
+    return got.select(F.col("name").alias("doc_id"), "cid", "error", F.octet_length("payload").cast("long").alias("bytes")).join(fresh.select(F.col("seq").alias("doc_id"), F.lit(True).alias("brought")), "doc_id", "left")
+
+
+STORE_PUT_GET = """WITH d AS (SELECT doc_id, lang, sha256(coalesce(text, '')) AS cid, strlen(coalesce(text, '')) AS n FROM documents),
+f AS (SELECT min(doc_id) AS doc_id FROM d WHERE cid NOT IN (SELECT cid FROM d WHERE lang = 'en') GROUP BY cid)
+SELECT doc_id, cid, CASE WHEN n > 4000 THEN 'too large' END AS error, CAST(CASE WHEN n <= 4000 THEN n END AS BIGINT) AS bytes, CASE WHEN doc_id IN (SELECT doc_id FROM f) THEN true END AS brought FROM d"""
+
 _ALL = {
+    "o1_6_external_store": (external_store, EXTERNAL_STORE),
+    "o1_2_external_fetch": (external_fetch, EXTERNAL_FETCH),
+    "o11_7_store_logs": (store_logs, STORE_LOGS),
+    "o1_19_store_put_get": (store_put_get, STORE_PUT_GET),
     "o1_7_mark_quantized": (marks, MARKS),
     "o11_8_record_digests": (record_digests, RECORD_DIGESTS),
     "o1_20_manifests": (manifests, MANIFESTS),
