@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,79 @@ def row_hash_matches(frames: DataFrame) -> DataFrame:
 def position_after(n: Column, v: Column, a: Column) -> Column:
     """Displacement of n steps that begin at speed v and grow by a."""
     return n * v + a * (n * (n - 1) / 2).cast("long")
+
+
+# Cells of the grid of wrap-around shifts that is searched in both directions at once, reach of a box search, and the
+# comparisons that the boxes of one frame share.
+TORUS, REACH, BUDGET = 4096, 64, 1 << 22
+
+
+def wraps(before: np.ndarray, after: np.ndarray) -> list[tuple[int, int]]:
+    """Wrap-around shifts (dx, dy) other than none that turn one picture into the other: along one axis, and along both on small
+    pictures. A shift is tried where the first sample may come from, on a column, then as a whole."""
+    h, w = after.shape
+    both, out = (w + 1) * (h + 1) <= TORUS, []
+    for sy, sx in np.argwhere(before == after[0, 0]).tolist():
+        dx, dy = -sx % w, -sy % h
+        if (dx or dy) and (both or not (dx and dy)) and (np.roll(before[:, sx], dy) == after[:, 0]).all() and (np.roll(before, (dy, dx), (0, 1)) == after).all():
+            out.append((dx, dy))
+    return out
+
+
+def box_moves(before: np.ndarray, base: np.ndarray, after: np.ndarray, boxes: list[tuple[int, int, int, int]], reach: int = REACH, budget: int = BUDGET) -> list[tuple[int, int, int]]:
+    """For each box (x0, y0, x1, y1) of a picture the displacement (dy, dx) of its source in the picture before with the fewest
+    mismatches, and their number; samples whose source is outside compare with base. Rising dy, then dx; the first of equals. The
+    boxes share a budget of compared samples; displacements beyond it are not tried."""
+    h, w = after.shape
+    padded = np.zeros((h + 2 * reach, w + 2 * reach), after.dtype)
+    padded[reach : reach + h, reach : reach + w] = before
+    inside = np.zeros(padded.shape, bool)
+    inside[reach : reach + h, reach : reach + w] = True
+    out = []
+    for x0, y0, x1, y1 in boxes:
+        own, kept, best = after[y0:y1, x0:x1], base[y0:y1, x0:x1] != after[y0:y1, x0:x1], None
+        for dy in range(-reach, reach + 1):
+            if budget < own.size * (2 * reach + 1):
+                break
+            budget -= own.size * (2 * reach + 1)
+            rows = slice(y0 + dy + reach, y1 + dy + reach)
+            there = np.lib.stride_tricks.sliding_window_view(padded[rows], own.shape[1], axis=1)[:, x0 : x0 + 2 * reach + 1]
+            valid = np.lib.stride_tricks.sliding_window_view(inside[rows], own.shape[1], axis=1)[:, x0 : x0 + 2 * reach + 1]
+            bad = np.where(valid, there != own[:, None, :], kept[:, None, :]).sum(axis=(0, 2))
+            k = int(bad.argmin())
+            if best is None or bad[k] < best[2]:
+                best = dy, k - reach, int(bad[k])
+        out.append(best or (0, 0, int(kept.sum())))
+    return out
+
+
+def pairs_of(frames: DataFrame) -> DataFrame:
+    """Packed frames (stream_id, frame, w, h, samples) with the samples of the frame before."""
+    order = Window.partitionBy("stream_id").orderBy("frame")
+    return frames.withColumn("before", F.lag("samples").over(order)).filter("before IS NOT NULL")
+
+
+def shifts(frames: DataFrame) -> DataFrame:
+    """The first wrap-around shift (dx, dy) of each packed frame against the one before, null if there is none."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [wraps(*(np.frombuffer(v, np.uint8).reshape(r.h, r.w) for v in (r.before, r.samples))) for r in pdf.itertuples(index=False)]
+            first = [min(f) if f else (None, None) for f in found]
+            yield pd.DataFrame({"stream_id": pdf["stream_id"], "frame": pdf["frame"], "dx": [f[0] for f in first], "dy": [f[1] for f in first]}).astype({"dx": "Int64", "dy": "Int64"})
+
+    return pairs_of(frames).select("stream_id", "frame", "w", "h", "before", "samples").mapInPandas(run, "stream_id long, frame long, dx int, dy int")
+
+
+def boxes_moved(frames: DataFrame, box: tuple[int, int, int, int], reach: int = REACH) -> DataFrame:
+    """Where a box of each packed frame comes from in the frame before: dy, dx and the mismatches left."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                a, b = (np.frombuffer(v, np.uint8).reshape(r.h, r.w) for v in (r.before, r.samples))
+                rows.append((r.stream_id, r.frame, *box_moves(a, a, b, [box], reach)[0]))
+            yield pd.DataFrame(rows, columns=["stream_id", "frame", "dy", "dx", "bad"])
+
+    return pairs_of(frames).select("stream_id", "frame", "w", "h", "before", "samples").mapInPandas(run, "stream_id long, frame long, dy int, dx int, bad long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import codec, lossy, media, region, store, transport
-from .adapters import BLOBS, FRAMES, LOG, PACKETS, blobs, frames, log, packets, read
+from .adapters import ALL_PACKETS, BLOBS, FRAMES, LOG, PACKETS, blobs, frames, log, packets, read
 
 
 def dedup(spark, sf_dir):
@@ -118,12 +118,12 @@ CAST(coalesce(sum(k % 20 + 5) FILTER (op = 'signup'), 0) AS BIGINT) AS residual
 
 def framing(spark, sf_dir):
     """Frames of packets, parsed again; every 50th frame is cut short."""
-    rows = packets(spark, sf_dir).select("stream_id", "ident", transport.frame(F.lit(4), F.col("seq"), F.col("ident").cast("string").cast("binary")).alias("frame"))
+    rows = packets(spark, sf_dir, lossy=False).select("stream_id", "ident", transport.frame(F.lit(4), F.col("seq"), F.col("ident").cast("string").cast("binary")).alias("frame"))
     rows = rows.withColumn("frame", F.when(F.col("ident") % 50 == 0, F.expr("substring(frame, 1, octet_length(frame) - 1)")).otherwise(F.col("frame")))
     return transport.parsed(rows).select("ident", "error", "kind", "seq", F.col("body").cast("string").alias("body"))
 
 
-FRAMING = f"""WITH {PACKETS} SELECT ident, CASE WHEN ident % 50 = 0 THEN 'bad frame length' END AS error, CASE WHEN ident % 50 <> 0 THEN 4 END AS kind, CASE WHEN ident % 50 <> 0 THEN seq END AS seq,
+FRAMING = f"""WITH {ALL_PACKETS} SELECT ident, CASE WHEN ident % 50 = 0 THEN 'bad frame length' END AS error, CASE WHEN ident % 50 <> 0 THEN 4 END AS kind, CASE WHEN ident % 50 <> 0 THEN seq END AS seq,
 CASE WHEN ident % 50 <> 0 THEN CAST(ident AS VARCHAR) END AS body FROM pk"""
 
 
@@ -172,16 +172,17 @@ SELECT stream_id, nullif(count(*) FILTER (x >= 20 AND x < 60 AND y >= 5 AND y <
 
 
 def demand(spark, sf_dir):
-    """What the view (4, 4, 20, 12) of frame 6 reads, where each group copies three rectangles."""
-    copies = spark.range(18).select((F.expr("id div 3") + 1).cast("int").alias("t"), *[F.expr(e).cast("int").alias(n) for n, e in (("sx", "(id * 7) % 30"), ("sy", "(id * 5) % 20"), ("w", "10 + id % 5"), ("h", "8 + id % 3"), ("dx", "(id * 11) % 24"), ("dy", "(id * 3) % 14"))])
-    return region.demands(copies, (4, 4, 20, 12), 6)
+    """Samples that a view of the ninth frame reads of each frame before, through the copies of every stream's log."""
+    k = F.col("k").cast("long")
+    copies = log(spark, sf_dir).select("stream_id", "t", (F.col("event_id") % 16).alias("sx"), (k % 12).alias("sy"), F.when(F.col("op").isin("purchase", "click"), 8).otherwise(0).alias("w"), F.lit(6).alias("h"), F.expr("event_id div 16 % 16").alias("dx"), F.expr("k div 12 % 12").alias("dy"))
+    spans = region.demands(copies, (4, 4, 20, 16), 9, 32, 24)
+    return spans.groupBy("stream_id", "t").agg(F.sum(F.col("x1") - F.col("x0")).alias("cells"), F.count("*").alias("spans"))
 
 
-DEMAND = """WITH RECURSIVE c AS (SELECT CAST(i // 3 + 1 AS INTEGER) AS t, i * 7 % 30 AS sx, i * 5 % 20 AS sy, 10 + i % 5 AS w, 8 + i % 3 AS h, i * 11 % 24 AS dx, i * 3 % 14 AS dy FROM range(0, 18) r(i)),
-d AS (SELECT 6 AS t, CAST(4 AS BIGINT) AS x0, CAST(4 AS BIGINT) AS y0, CAST(20 AS BIGINT) AS x1, CAST(12 AS BIGINT) AS y1 UNION
- SELECT d.t - 1, greatest(x0, dx) + sx - dx, greatest(y0, dy) + sy - dy, least(x1, dx + w) + sx - dx, least(y1, dy + h) + sy - dy FROM d JOIN c ON c.t = d.t
- WHERE greatest(x0, dx) < least(x1, dx + w) AND greatest(y0, dy) < least(y1, dy + h))
-SELECT t, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1 FROM d"""
+DEMAND = f"""WITH RECURSIVE {LOG}, c AS (SELECT stream_id, t, event_id % 16 AS sx, k % 12 AS sy, event_id // 16 % 16 AS dx, k // 12 % 12 AS dy FROM ev WHERE op IN ('purchase', 'click') AND t <= 9),
+n AS (SELECT s.stream_id, CAST(9 AS BIGINT) AS t, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM (SELECT DISTINCT stream_id FROM ev) s, range(4, 20) a(x), range(4, 16) b(y)
+UNION SELECT n.stream_id, n.t - 1, n.x + sx - dx, n.y + sy - dy FROM n JOIN c ON c.stream_id = n.stream_id AND c.t = n.t WHERE n.x >= dx AND n.x < dx + 8 AND n.y >= dy AND n.y < dy + 6)
+SELECT stream_id, t, CAST(count(*) AS BIGINT) AS cells, count(*) FILTER (NOT EXISTS (SELECT 1 FROM n m WHERE m.stream_id = n.stream_id AND m.t = n.t AND m.y = n.y AND m.x = n.x - 1)) AS spans FROM n GROUP BY stream_id, t"""
 
 
 def quantized(spark, sf_dir):

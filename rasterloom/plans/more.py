@@ -74,38 +74,6 @@ LIFTING = """WITH r AS (SELECT p_partkey, p_partkey * 31 % 511 - 255 AS a, p_par
 v AS (SELECT *, b + CAST(floor(-98 * u / 256) AS BIGINT) AS v FROM u) SELECT p_partkey, u + CAST(floor(51 * v / 256) AS BIGINT) AS w, v, true AS exact FROM v"""
 
 
-def toroidal(spark, sf_dir):
-    """For each frame of a scrolled stream the wrap-around shift that turns frame 0 into it: every shift is proved on all samples."""
-    first = frames(spark, sf_dir).filter("frame = 0").groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
-    hexed = F.array_join(F.transform("s", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), "")
-    packed = first.select(F.col("stream_id").cast("int").alias("stream_id"), F.unhex(hexed).alias("samples"), F.lit(8).alias("w"), F.lit(8).alias("h"))
-    dense = raw.dense(chain.scroll(packed, 5, 3).select("stream_id", "frame", "samples"), 8)
-    base = dense.filter("frame = 0").select("stream_id", "y", F.col("x").alias("bx"), F.col("v").alias("bv"))
-    tries = dense.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("bx", F.pmod(F.col("x") + F.col("shift"), F.lit(8)))
-    return tries.join(base, ["stream_id", "y", "bx"]).groupBy("stream_id", "frame", "shift").agg(F.bool_and(F.col("v") == F.col("bv")).alias("ok")).filter("ok").groupBy("stream_id", "frame").agg(F.min("shift").alias("shift"))
-
-
-TOROIDAL = "SELECT DISTINCT CAST(label AS INTEGER) AS stream_id, t AS frame, CAST(3 * t % 8 AS INTEGER) AS shift FROM embeddings, range(0, 6) r(t)"
-
-
-def search_box(spark, sf_dir):
-    """For the box (2, 2)..(5, 5) the move of fewest mismatches with the frame before; cells that leave the canvas compare with themselves."""
-    own = frames(spark, sf_dir).withColumn("v", F.shiftright("v", 5))
-    moves = F.explode(F.expr("flatten(transform(sequence(-2, 2), j -> transform(sequence(-2, 2), i -> struct(j AS dy, i AS dx))))"))
-    box = own.filter("x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AND frame > 0").select("stream_id", "frame", "y", "x", "v", moves.alias("m"))
-    box = box.withColumns({"sy": F.col("y") + F.col("m.dy"), "sx": F.col("x") + F.col("m.dx")})
-    before = own.select("stream_id", (F.col("frame") + 1).alias("frame"), F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("v").alias("p"))
-    pairs = box.join(before, ["stream_id", "frame", "sy", "sx"])
-    cost = pairs.groupBy("stream_id", "frame", "m.dy", "m.dx").agg(F.count(F.when(F.col("v") != F.col("p"), 1)).alias("bad"))
-    return cost.groupBy("stream_id", "frame").agg(F.min(F.struct("bad", "dy", "dx")).alias("b")).select("stream_id", "frame", "b.bad", "b.dy", "b.dx")
-
-
-SEARCH_BOX = f"""WITH {FRAMES}, l AS (SELECT stream_id, frame, list(v // 32 ORDER BY y, x) AS s FROM fr GROUP BY ALL),
-p AS (SELECT c.stream_id, c.frame, CAST(j AS INTEGER) AS dy, CAST(i AS INTEGER) AS dx, count(*) FILTER (c.s[y * 8 + x + 1] <> q.s[(y + j) * 8 + x + i + 1]) AS bad FROM l c JOIN l q ON q.stream_id = c.stream_id AND q.frame = c.frame - 1,
- range(-2, 3) a(j), range(-2, 3) b(i), range(2, 6) d(y), range(2, 6) e(x) GROUP BY ALL)
-SELECT stream_id, frame, bad, dy, dx FROM p QUALIFY row_number() OVER (PARTITION BY stream_id, frame ORDER BY bad, dy, dx) = 1"""
-
-
 def region_grid(spark, sf_dir):
     """Replacing changed tiles of 4, 2 or 1: 13 for the group, 17 and 13 and the samples for each tile; the cheapest size wins."""
     changed = compare.with_previous(frames(spark, sf_dir).withColumn("v", F.shiftright("v", 6))).filter("frame > 0 AND v <> prev")
@@ -167,13 +135,13 @@ SELECT stream_id, true AS exact, CAST(sum(least(255, (v + 4) // 8 * 8)) AS BIGIN
 
 
 def raw_reader(spark, sf_dir):
-    """Frames packed back to back, cut again: two frames a file."""
-    rows = frames(spark, sf_dir).filter("frame < 2").groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("frame", "y", "x", "v"))).alias("s"))
-    files = rows.select(F.col("stream_id").cast("string").alias("path"), F.unhex(F.array_join(F.transform("s", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), "")).alias("content"))
+    """Frames packed back to back, sixteen a file, cut again."""
+    rows = frames(spark, sf_dir).groupBy("stream_id", F.expr("frame div 16").alias("part")).agg(F.sort_array(F.collect_list(F.struct("frame", "y", "x", "v"))).alias("s"))
+    files = rows.select(F.concat_ws("/", "stream_id", "part").alias("path"), F.unhex(F.array_join(F.transform("s", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), "")).alias("content"))
     return raw.dense(raw.raw_frames(files, 8, 8).filter("error IS NULL").drop("error"), 8).groupBy("path", "frame").agg(F.sum(F.col("v") * (F.col("y") * 8 + F.col("x") + 1)).cast("long").alias("weighted"))
 
 
-RAW_READER = f"WITH {FRAMES} SELECT CAST(stream_id AS VARCHAR) AS path, frame, CAST(sum(v * (y * 8 + x + 1)) AS BIGINT) AS weighted FROM fr WHERE frame < 2 GROUP BY ALL"
+RAW_READER = f"WITH {FRAMES} SELECT stream_id || '/' || frame // 16 AS path, frame % 16 AS frame, CAST(sum(v * (y * 8 + x + 1)) AS BIGINT) AS weighted FROM fr GROUP BY ALL"
 
 
 def container_files(spark, sf_dir):
@@ -286,8 +254,6 @@ _ALL = {
     "o4_11_lifting_rotation": (lifting, LIFTING),
     "o4_scalar_functions": (scalars, SCALARS),
     "o6_5_transform_blocks": (transform_blocks, _transform_blocks_sql()),
-    "o7_9_toroidal_shift": (toroidal, TOROIDAL),
-    "o7_15_search_box": (search_box, SEARCH_BOX),
     "o8_11_region_grid": (region_grid, REGION_GRID),
     "o8_12_background_sweep": (background_sweep, BACKGROUND_SWEEP),
     "o9_8_strategy_comparison": (strategies, _strategies_sql()),

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import lossy
+from ..operators import compare, lossy
 from ..sources import decode, encode, view
 from ..sources import frames as raw
 from .adapters import FRAMES, frames, read
@@ -186,7 +186,33 @@ SELECT s AS stream_id, CAST(12 AS INTEGER) AS w, CAST(10 AS INTEGER) AS h, CAST(
 CAST(6 AS BIGINT) AS replayed, CAST(any_value(CASE WHEN k = 2 THEN 6 ELSE 1 END) AS BIGINT) AS levels, CAST(any_value(CASE k WHEN 1 THEN 241 WHEN 3 THEN 120 ELSE 240 END) AS BIGINT) AS base,
 CAST(any_value(CASE WHEN k = 2 THEN 5 * 120 ELSE 0 END) AS BIGINT) AS copied, CAST(any_value(CASE WHEN k = 3 THEN 0 ELSE 1 END) AS BIGINT) AS objects, CAST(any_value(CASE WHEN k = 2 THEN 320 ELSE 120 END) AS BIGINT) AS peak, CAST(any_value(CASE WHEN k = 2 THEN 3 * 10 + 3 * 20 ELSE 10 END) AS BIGINT) AS spans FROM g GROUP BY s"""
 
+def toroidal(spark, sf_dir):
+    """The wrap-around shift of every frame of every movie against the frame before, if there is one."""
+    return compare.shifts(movies(spark, sf_dir)).filter("dx IS NOT NULL").join(_held(spark, sf_dir), ["stream_id", "frame"], "left_anti")
+
+
+def _held(spark, sf_dir):
+    """Frames equal to the one before, whose shifts say nothing."""
+    return compare.pairs_of(movies(spark, sf_dir)).filter("before = samples").select("stream_id", "frame")
+
+
+TOROIDAL = f"""SELECT s_suppkey AS stream_id, CAST(f AS BIGINT) AS frame, CAST(3 AS INTEGER) AS dx, CAST(0 AS INTEGER) AS dy FROM supplier, range(1, {FRAMES_EACH}) r(f)
+WHERE s_suppkey % {len(KINDS)} = 2 OR s_suppkey % {len(KINDS)} = 8 AND f % 2 = 1"""
+
+
+def search_box(spark, sf_dir):
+    """Where the box (8, 8)..(16, 16) of every frame comes from, within 64 samples, in the scrolls and pans among the movies. In the
+    static ones every source outside the picture is as good, so the first displacement wins."""
+    moved = compare.boxes_moved(movies(spark, sf_dir).filter((F.col("stream_id") % len(KINDS)).isin(0, 2, 7, 11)), (8, 8, 16, 16))
+    return moved.filter(F.col("bad") == 0)
+
+
+SEARCH_BOX = f"""WITH m(k, dy, dx) AS (VALUES (0, -64, -64), (2, 0, -3), (7, -1, -2), (11, 2, 0))
+SELECT s_suppkey AS stream_id, CAST(f AS BIGINT) AS frame, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, CAST(0 AS BIGINT) AS bad FROM supplier JOIN m ON k = s_suppkey % {len(KINDS)}, range(1, {FRAMES_EACH}) r(f)"""
+
 _ALL = {
+    "o7_9_toroidal_shift": (toroidal, TOROIDAL),
+    "o7_15_search_box": (search_box, SEARCH_BOX),
     "o13_4_view_through_copies": (views, VIEWS),
     "o8_encoder_choice": (choice, CHOICE),
     "o15_9_movies_decoded": (decoded, DECODED),

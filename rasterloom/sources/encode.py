@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators import codec
+from ..operators import codec, compare
 from . import container as c
 from . import decode
 
@@ -23,9 +23,9 @@ FAMILIES = (
     "unchanged", "fill", "clear_instances", "clear_overlay", "sparse", "residual", "rans_residual", "transform_residual", "raw", "exact_ref",
     "generator", "generator_residual", "prev_diff", "copy_rect", "copy_residual", "translation", "regions",
 )
-# Bytes of an empty group; most overlay points; most cells of a region change, and sides of cells; cells of the grid
-# of wrap-around shifts that is searched in both directions; reach of a translation; share of a program's misses.
-GROUP, OVERLAY_CAP, MOST_CELLS, CELLS, TORUS, REACH, MISSES = 13, 1 << 20, 256, (64, 32, 16, 8), 4096, 2, 16
+# Bytes of an empty group; most overlay points; most cells of a region change, and sides of cells; reach of a
+# translation; share of a program's misses.
+GROUP, OVERLAY_CAP, MOST_CELLS, CELLS, REACH, MISSES = 13, 1 << 20, 256, (64, 32, 16, 8), 2, 16
 PERIODS, CHECKS = (2, 4, 8, 16, 32, 64, 128, 256), (1, 2, 4, 8, 16, 32)
 SCROLL = 3
 
@@ -186,7 +186,7 @@ class Encoder:
             yield Proposal("prev_diff", group_bytes([everything]), [everything])
         elif fix := self.correction(prev, target, best, GROUP + 25):
             yield Proposal("prev_diff", group_bytes([everything, fix]), [everything, fix])
-        for dx, dy in self.wraps(target, prev):
+        for dx, dy in compare.wraps(prev, target):
             moves = [(0x24, [sx, sy, cw, ch, (sx + dx) % w, (sy + dy) % h], b"") for sx, cw in ((0, w - dx), (w - dx, dx)) for sy, ch in ((0, h - dy), (h - dy, dy)) if cw and ch]
             yield Proposal("copy_rect", group_bytes(moves), moves)
         for dx, dy in [(k, 0) for k in range(-SCROLL, SCROLL + 1) if k] + [(0, k) for k in range(-SCROLL, SCROLL + 1) if k]:
@@ -199,16 +199,6 @@ class Encoder:
             elif fix := self.correction(after, target, best, GROUP + 25):
                 yield Proposal("copy_residual", group_bytes([move, fix]), [move, fix])
 
-    def wraps(self, target: np.ndarray, prev: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Wrap-around shifts that turn the frame before into this one: along one axis, and along both on small canvases."""
-        w, h = self.width, self.height
-        both = (w + 1) * (h + 1) <= TORUS
-        first = np.argwhere(prev == target[0, 0])  # where the first sample may come from
-        for sy, sx in first.tolist():
-            dx, dy = -sx % w, -sy % h
-            if (dx or dy) and (both or not (dx and dy)) and (np.roll(prev[:, sx], dy) == target[:, 0]).all() and (np.roll(prev, (dy, dx), (0, 1)) == target).all():
-                yield dx, dy
-
     def moved(self, target, base, prev, best) -> Iterator[Proposal]:
         scene = self.scene
         if len(scene.instances) != 1 or scene.overlay:

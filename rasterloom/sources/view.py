@@ -13,64 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators import codec
+from ..operators.region import Region, target_of
 from . import container as c
 from . import decode, rewrite
 
 
-class Region:
-    """Samples of a canvas: a box and which of its samples belong."""
-
-    def __init__(self, x: int, y: int, mask: np.ndarray):
-        rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
-        if len(rows):
-            self.x, self.y = x + int(columns[0]), y + int(rows[0])
-            self.mask = mask[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1]
-        else:
-            self.x, self.y, self.mask = x, y, np.zeros((0, 0), bool)
-
-    @classmethod
-    def box(cls, x0: int, y0: int, x1: int, y1: int) -> Region:
-        return cls(x0, y0, np.ones((max(0, y1 - y0), max(0, x1 - x0)), bool))
-
-    def __len__(self) -> int:
-        return int(self.mask.sum())
-
-    @property
-    def ends(self) -> tuple[int, int]:
-        return self.x + self.mask.shape[1], self.y + self.mask.shape[0]
-
-    def spans(self) -> int:
-        """Runs of samples, row by row."""
-        return int((np.diff(self.mask.astype(np.int8), axis=1, prepend=0) > 0).sum()) if self.mask.size else 0
-
-    def within(self, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
-        """The mask over a box."""
-        out = np.zeros((max(0, y1 - y0), max(0, x1 - x0)), bool)
-        a, b, (e, f) = max(x0, self.x), max(y0, self.y), self.ends
-        e, f = min(x1, e), min(y1, f)
-        if a < e and b < f:
-            out[b - y0 : f - y0, a - x0 : e - x0] = self.mask[b - self.y : f - self.y, a - self.x : e - self.x]
-        return out
-
-    def cut(self, x0: int, y0: int, x1: int, y1: int) -> Region:
-        return Region(x0, y0, self.within(x0, y0, x1, y1))
-
-    def without(self, x0: int, y0: int, x1: int, y1: int) -> Region:
-        mask = self.mask.copy()
-        mask[max(0, y0 - self.y) : max(0, y1 - self.y), max(0, x0 - self.x) : max(0, x1 - self.x)] = False
-        return Region(self.x, self.y, mask)
-
-    def moved(self, dx: int, dy: int) -> Region:
-        return Region(self.x + dx, self.y + dy, self.mask)
-
-    def union(self, other: Region) -> Region:
-        if not len(self) or not len(other):
-            return self if len(self) else other
-        x0, y0 = min(self.x, other.x), min(self.y, other.y)
-        x1, y1 = (max(a, b) for a, b in zip(self.ends, other.ends))
-        return Region(x0, y0, self.within(x0, y0, x1, y1) | other.within(x0, y0, x1, y1))
-
-
 @dataclass
 class Work:
     """What a view has cost."""
@@ -85,14 +32,6 @@ class Work:
     spans: int = 0
 
 
-def target_of(args: list[int], width: int, height: int) -> tuple[int, int, int, int]:
-    """The box that a copy writes: both ends are clipped to the canvas."""
-    sx, sy, w, h, dx, dy = args
-    left, top = max(0, -sx, -dx), max(0, -sy, -dy)
-    right, bottom = min(w, width - sx, width - dx), min(h, height - sy, height - dy)
-    return dx + left, dy + top, dx + max(left, right), dy + max(top, bottom)
-
-
 def demands(groups: list[tuple], at: int, view: Region, width: int, height: int) -> list[Region]:
     """What the view of frame `at` needs of each frame up to it."""
     out = [Region.box(0, 0, 0, 0) for _ in range(at)] + [view]
