@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import archive, blobs, container
+from ..sources import archive, blobs, build, container, rewrite
 from .adapters import LOG, read
 from .more import container_files
 
@@ -219,7 +219,60 @@ STORE_PUT_GET = """WITH d AS (SELECT doc_id, lang, sha256(coalesce(text, '')) AS
 f AS (SELECT min(doc_id) AS doc_id FROM d WHERE cid NOT IN (SELECT cid FROM d WHERE lang = 'en') GROUP BY cid)
 SELECT doc_id, cid, CASE WHEN n > 4000 THEN 'too large' END AS error, CAST(CASE WHEN n <= 4000 THEN n END AS BIGINT) AS bytes, CASE WHEN doc_id IN (SELECT doc_id FROM f) THEN true END AS brought FROM d"""
 
+def built(spark, sf_dir):
+    """Containers built step by step; for every tenth supplier a step is out of range."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for s in pdf["s_suppkey"].tolist():
+                try:
+                    b = build.Builder(64, 48, s % 256).fill(1, 8, 6, s % 251).instance(1, 1, s % 50, 3)
+                    for t in range(1, 3 + s % 5):
+                        b.at(2 * t).move(1, (1 << 25) if s % 10 == 0 else s * t % 64, t)
+                        if (s + t) % 3 == 0:
+                            b.at(2 * t).patch([(t, 1, 9), (t, 2, 9)]).clear_overlay()
+                    data = b.finish()
+                    rows.append((s, len(data), sum(1 for r in container.read(data) if r[1] == container.GROUP), b.counts["move"], b.counts["patch"], None))
+                except build.BuildError as e:
+                    rows.append((s, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["s_suppkey", "bytes", "groups", "moves", "patches", "error"]).astype(dict.fromkeys(("bytes", "groups", "moves", "patches"), "Int64"))
+
+    return read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey long, bytes long, groups long, moves long, patches long, error string")
+
+
+BUILT = f"""WITH g AS (SELECT s_suppkey, unnest(range(1, 3 + s_suppkey % 5)) AS t FROM supplier WHERE s_suppkey % 10 <> 0)
+SELECT s_suppkey, CAST({_START + 32} + sum(13 + 13 + CASE WHEN (s_suppkey + t) % 3 = 0 THEN 5 + 18 + 1 ELSE 0 END) AS BIGINT) AS bytes, count(*) AS groups, count(*) AS moves, count(*) FILTER ((s_suppkey + t) % 3 = 0) AS patches, CAST(NULL AS VARCHAR) AS error FROM g GROUP BY s_suppkey
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, 'coordinate out of range' FROM supplier WHERE s_suppkey % 10 = 0"""
+
+
+def collapsed(spark, sf_dir):
+    """Containers whose placements follow a line, a curve, two lines or nothing, with programs in their place: bytes before and after.
+    A container is kept as it is where no program is shorter; every result is decoded and compared."""
+
+    def run(batches):
+        for pdf in batches:
+            made = []
+            for s in pdf["s_suppkey"].tolist():
+                n = 4 + s % 7
+                spot = {0: lambda k: (2 * k, k), 1: lambda k: (k * (k - 1) // 2, k), 2: lambda k: (min(k, 3), 0), 3: lambda k: (k * k * k % 17, 0)}[s % 4]
+                groups = [(k, [(0x22, [1, *spot(k)], b"")]) for k in range(1, n + 1)]
+                made.append(container.write(64, 48, [(container.FILL, [1, 8, 6, 200], b""), (container.CHECKPOINT, [0, 1, 1, 0, 0], b"")], groups))
+            yield pd.DataFrame({"path": pdf["s_suppkey"].astype(str), "content": made})
+
+    files = read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "path string, content binary")
+    return rewrite.optimize(files, rewrite=rewrite.collapsed).select(F.col("path").cast("long").alias("s_suppkey"), "before", "after", "error")
+
+
+COLLAPSED = f"""WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS kind, 4 + s_suppkey % 7 AS n FROM supplier), k AS (SELECT s_suppkey, kind, n, unnest(range(0, n + 1)) AS k FROM s),
+p AS (SELECT s_suppkey, kind, n, list(CASE kind WHEN 0 THEN 2 * k WHEN 1 THEN k * (k - 1) // 2 WHEN 2 THEN least(k, 3) ELSE k * k * k % 17 END ORDER BY k) AS x FROM k GROUP BY ALL),
+d AS (SELECT *, [x[i + 1] - x[i] FOR i IN range(1, n + 1)] AS d FROM p), e AS (SELECT *, 1 + len([1 FOR i IN range(1, n) IF d[i + 1] <> d[i]]) AS runs FROM d),
+b AS (SELECT *, {_START + 32} + 26 * n AS before, CASE WHEN kind = 1 THEN 9 + 25 ELSE 9 + 17 * runs END AS program FROM e)
+SELECT s_suppkey, CAST(before AS BIGINT) AS before, CAST(CASE WHEN 14 * n + program + 1 < 26 * n THEN {_START + 32} + 14 * n + program ELSE before END AS BIGINT) AS after, CAST(NULL AS VARCHAR) AS error FROM b"""
+
 _ALL = {
+    "o15_1_builder": (built, BUILT),
+    "o10_8_collapse": (collapsed, COLLAPSED),
     "o1_6_external_store": (external_store, EXTERNAL_STORE),
     "o1_2_external_fetch": (external_fetch, EXTERNAL_FETCH),
     "o11_7_store_logs": (store_logs, STORE_LOGS),

@@ -26,8 +26,13 @@ def framehash(lines: DataFrame) -> DataFrame:
     parts = F.split(F.col("value"), r"\s*,\s*")
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(parts.alias("p"))
     n = lambda i: F.when(F.trim(F.get("p", F.lit(i))) != "N/A", F.trim(F.get("p", F.lit(i))).cast("long"))
-    order = rows.select((F.monotonically_increasing_id()).alias("ord"), n(1).alias("dts"), n(2).alias("pts"), n(3).alias("duration"), n(4).alias("size"), F.lower(F.trim(F.get("p", F.lit(5)))).alias("hash"))
-    return order.withColumn("frame", (F.row_number().over(Window.orderBy("ord")) - 1).cast("long")).drop("ord")
+    order = rows.select(F.monotonically_increasing_id().alias("ord"), n(1).alias("dts"), n(2).alias("pts"), n(3).alias("duration"), n(4).alias("size"), F.lower(F.trim(F.get("p", F.lit(5)))).alias("hash"))
+    # numbered within each partition, then by how many rows the partitions before have (one row a partition)
+    order = order.withColumn("part", F.shiftright("ord", 33))
+    sizes = order.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("ord")) - 1
+    return order.withColumn("own", own).join(F.broadcast(before), "part").withColumn("frame", (F.col("before") + F.col("own")).cast("long")).drop("ord", "part", "own", "before")
 
 
 def time_base(lines: DataFrame) -> DataFrame:
@@ -56,8 +61,8 @@ def verified_import(frames: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    """Packed frames as Parquet, a stream a folder."""
-    frames.repartition("stream_id").sortWithinPartitions("stream_id", "frame").write.mode("overwrite").partitionBy("stream_id").parquet(path)
+    """Packed frames as Parquet, a stream a folder. A long stream spreads over tasks by runs of frames."""
+    frames.repartition("stream_id", F.expr("frame div 4096")).sortWithinPartitions("stream_id", "frame").write.mode("overwrite").partitionBy("stream_id").parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

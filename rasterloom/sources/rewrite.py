@@ -86,6 +86,52 @@ def velocities_for_placements(records: list[tuple], groups: list[tuple]) -> Iter
         at = max(end, at + 1)
 
 
+def segments_of(spots: list[tuple[int, int]]) -> list[int] | None:
+    """Operands of the cheapest program through positions, the one before the first included: one linear segment, one accelerated
+    segment, or a linear one for each run of even steps; of equals the first."""
+    steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(spots, spots[1:])]
+    turns = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(steps, steps[1:])]
+    runs: list[list[int]] = []
+    for x, y in steps:
+        if runs and runs[-1][1:3] == [x, y]:
+            runs[-1][3] += 1
+        else:
+            runs.append([0, x, y, 1])
+    tries = [runs] if len(runs) == 1 else []
+    if turns and len(set(turns)) == 1 and turns[0] != (0, 0):
+        tries.append([[1, *steps[0], *turns[0], len(steps)]])
+    if len(runs) > 1:
+        tries.append(runs)
+    size = lambda program: sum(len(c.transition(c.TRAJECTORY, [0, *s], b"")) for s in program)
+    best = min(tries, key=size, default=None)
+    return None if best is None else [v for s in best for v in s]
+
+
+def programs_for_placements(records: list[tuple], groups: list[tuple]) -> Iterator[tuple]:
+    """A maximal run of at least three groups that each only place one instance, which has no velocity or program, becomes a program
+    that is advanced, where that takes fewer bytes."""
+    scene = decode.Scene(1, 1)
+    for r in records:
+        scene.declare(*r)
+    at = 0
+    while at < len(groups):
+        end, own = at, groups[at][1]
+        if len(own) == 1 and own[0][0] == 0x22:
+            iid = own[0][1][0]
+            while end < len(groups) and len(groups[end][1]) == 1 and groups[end][1][0][0] == 0x22 and groups[end][1][0][1][0] == iid:
+                end += 1
+            if end - at >= 3 and iid not in scene.motion:
+                spots = [tuple(scene.instances[iid][1:])] + [tuple(g[1][0][1][1:]) for g in groups[at:end]]
+                program = segments_of(spots)
+                if program and 14 * (end - at) + len(c.transition(c.TRAJECTORY, [iid, *program], b"")) + 1 < 26 * (end - at):
+                    run = [(groups[at][0], [(c.TRAJECTORY, [iid, *program], b""), (0x2C, [], b"")])] + [(t, [(0x2C, [], b"")]) for t, _ in groups[at + 1 : end]]
+                    yield records, groups[:at] + run + groups[end:]
+        for _, transitions in groups[at : max(end, at + 1)]:
+            for x in transitions:
+                scene.apply(*x)
+        at = max(end, at + 1)
+
+
 def patches_for_residuals(records: list[tuple], groups: list[tuple]) -> Iterator[tuple]:
     """A residual that two or more groups in a row repeat becomes one lasting patch and empty groups."""
     from ..operators import codec
@@ -107,15 +153,22 @@ def patches_for_residuals(records: list[tuple], groups: list[tuple]) -> Iterator
         at = end
 
 
-REWRITES = (velocities_for_placements, patches_for_residuals, programs_for_rasters, merged_duplicates)
+REWRITES = (velocities_for_placements, programs_for_placements, patches_for_residuals, programs_for_rasters, merged_duplicates)
+
 
+def collapsed(data: bytes, magic: bytes = c.MAGIC) -> bytes:
+    """The container with programs in place of placements, as far as that pays. One with palettes stays as it is."""
+    if any(tag in (c.PALETTE, c.CHECKPOINT_BOUND) for tag, _, _ in parts(data, magic)[1]):
+        return data
+    return optimized(data, magic, (programs_for_placements,), 256)
 
-def optimized(data: bytes, magic: bytes = c.MAGIC) -> bytes:
+
+def optimized(data: bytes, magic: bytes = c.MAGIC, rewrites: tuple = REWRITES, rounds: int = ROUNDS) -> bytes:
     """The container after as many rewrites as pay and are proved, one a round."""
     frames = list(decode.decode(data, magic))
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         head, records, groups = parts(data, magic)
-        for rewrite in REWRITES:
+        for rewrite in rewrites:
             for tried in rewrite(records, groups):
                 try:
                     new = c.write(head[0], head[1], *tried, features=head[2], magic=magic)
@@ -133,12 +186,18 @@ def optimized(data: bytes, magic: bytes = c.MAGIC) -> bytes:
     return data
 
 
-def optimize(files: DataFrame, magic: bytes = c.MAGIC) -> DataFrame:
-    """`binaryFile` rows (path, content) with the rewritten container: path, before, after, content."""
+def optimize(files: DataFrame, magic: bytes = c.MAGIC, rewrite=optimized) -> DataFrame:
+    """`binaryFile` rows (path, content) with the rewritten container: path, before, after, content, error."""
 
     def run(batches):
         for pdf in batches:
-            new = [optimized(bytes(d), magic) for d in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "before": [len(d) for d in pdf["content"]], "after": [len(d) for d in new], "content": new})
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"]):
+                try:
+                    new = rewrite(bytes(data), magic)
+                    rows.append((path, len(data), len(new), new, None))
+                except c.Breach as e:
+                    rows.append((path, len(data), None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "before", "after", "content", "error"]).astype({"after": "Int64"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, before long, after long, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, before long, after long, content binary, error string")
