@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import motion, pixels
+from ..sources import planes
 from .adapters import read
+from .archives import sha
 
 WIDTH, HEIGHT = 8, 6
 
@@ -137,7 +139,35 @@ def refined(spark, sf_dir):
 
 REFINED = "SELECT s_suppkey AS stream_id, s_suppkey % 5 <> 2 AS warped, true AS explained FROM supplier WHERE s_suppkey % 5 IN (0, 4) OR s_suppkey % 5 = 2 AND s_suppkey % 3 = 1"
 
+def planes_replayed(spark, sf_dir):
+    """Ten-bit 4:2:0 programs of three planes, written and parsed: a box that moves from the start, a ramp with a copy, a raster under
+    a global map; checksums of the planes at time 3. Every twentieth file has a changed byte."""
+
+    def run(batches):
+        for pdf in batches:
+            made = []
+            for s in pdf["s_suppkey"].tolist():
+                luma = planes.Plane(64, [(1, 4, 3, planes.FILL, [500 + s % 100], b"")], [(1, 1, s % 5, 1)], [(15, 11, 1000)], [(t, [(0x2A, [], b"")]) for t in (1, 2, 3)], motion=[(1, 1, [2, 1])])
+                ramp = planes.Plane(0, [(1, 8, 6, planes.GENERATOR, [0, 10 + s % 7, 3, 5], b"")], [(1, 1, 0, 0)], groups=[(2, [(0x27, [0, 0, 4, 4, 2, 1], b"")])])
+                flat = np.array([[(x * 31 + y * 77 + s) % 1024 for x in range(8)] for y in range(6)], "<u2").tobytes()
+                warp = planes.Plane(7, [(1, 8, 6, planes.RASTER, [], flat)], [(1, 1, 0, 0)], groups=[(1, [(planes.PREDICT, [1, 4096, 0, -4096, 0, 4096, 0], b"")])])
+                data = planes.write(planes.Media(16, 12, "yuv420", (10, 10, 10)), [luma, ramp, warp], sha)
+                made.append(data if s % 20 else data[:60] + bytes([data[60] ^ 1]) + data[61:])
+            yield pd.DataFrame({"path": pdf["s_suppkey"].astype(str), "content": made})
+
+    files = read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "path string, content binary")
+    got = planes.observations(files, 3, sha).select("path", "plane", "depth", F.posexplode("samples").alias("p", "v"))
+    return got.groupBy(F.col("path").cast("long").alias("s_suppkey"), "plane", "depth").agg(F.count("*").alias("n"), F.sum(F.col("v") * (F.col("p") + 1)).cast("long").alias("weighted"))
+
+
+PLANES_REPLAYED = """WITH s AS (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey % 20 <> 0),
+v AS (SELECT s, 0 AS plane, y * 16 + x AS p, CASE WHEN x = 15 AND y = 11 THEN 1000 WHEN x - s % 5 - 6 BETWEEN 0 AND 3 AND y - 4 BETWEEN 0 AND 2 THEN 500 + s % 100 ELSE 64 END AS v FROM s, range(0, 16) a(x), range(0, 12) b(y)
+UNION ALL SELECT s, 1, y * 8 + x, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 4 THEN 10 + s % 7 + 3 * (x - 2) + 5 * (y - 1) ELSE 10 + s % 7 + 3 * x + 5 * y END FROM s, range(0, 8) a(x), range(0, 6) b(y)
+UNION ALL SELECT s, 2, y * 8 + x, (greatest(x - 1, 0) * 31 + y * 77 + s) % 1024 FROM s, range(0, 8) a(x), range(0, 6) b(y))
+SELECT s AS s_suppkey, CAST(plane AS INTEGER) AS plane, CAST(10 AS INTEGER) AS depth, count(*) AS n, CAST(sum(v * (p + 1)) AS BIGINT) AS weighted FROM v GROUP BY ALL"""
+
 _ALL = {
+    "o1_10_planes_replayed": (planes_replayed, PLANES_REPLAYED),
     "o1_16_unpack_all_formats": (unpack, UNPACK),
     "o1_17_repack_all_formats": (repack, REPACK),
     "o7_14_estimate_global": (translation, TRANSLATION),

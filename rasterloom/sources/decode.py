@@ -16,6 +16,8 @@ from . import container as c
 class Scene:
     """State of a scene: what transitions change, and how it is painted."""
 
+    kind = np.uint8  # of samples
+
     def __init__(self, width: int, height: int):
         self.shape, self.background = (height, width), 0
         self.objects: dict[int, tuple] = {}
@@ -126,7 +128,7 @@ class Scene:
         return raster
 
     def painted(self) -> np.ndarray:
-        canvas = np.full(self.shape, self.background, np.uint8)
+        canvas = np.full(self.shape, self.background, self.kind)
         height, width = self.shape
         for iid, (oid, x, y) in self.instances.items():
             own = self.samples(iid, oid)
