@@ -29,6 +29,8 @@ TRAJECTORY, SEGMENTS = 0x2B, {0: "iiQ", 1: "iiiiQ"}
 # Parameters of generators by kind (gradient, checker, periodic, noise).
 GENERATORS = {0: "Bii", 1: "BBI", 2: "BiiI", 3: "Q"}
 LARGEST = 1 << 24
+#: Most samples of a canvas or an object: sizes of a damaged file must not become memory.
+MOST_SAMPLES = 1 << 26
 
 
 class Breach(ValueError):
@@ -158,6 +160,8 @@ def read(data: bytes, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = b
         raise Breach("unsupported version, universe, profile or feature")
     if not width or not height:
         raise Breach("empty canvas")
+    if width * height > MOST_SAMPLES:
+        raise Breach("too large")
     yield 0, 0, None, [width, height, features], b"", 0, cur.at
     n, known, live, checkpoint, last = 1, set(), set(), False, 0
     while cur.at < cur.end:
@@ -202,6 +206,12 @@ def read(data: bytes, magic: bytes = MAGIC, digest: Callable[[bytes], bytes] = b
         raise Breach("digest")
 
 
+def _bounded(args: list[int]) -> list[int]:
+    if args[1] * args[2] > MOST_SAMPLES:
+        raise Breach("too large")
+    return args
+
+
 def _record(cur: Cursor, tag: int) -> tuple[list[int], bytes]:
     if tag in (RASTER, INDEX):
         args = cur.pull("III")
@@ -209,7 +219,7 @@ def _record(cur: Cursor, tag: int) -> tuple[list[int], bytes]:
             raise Breach("empty object")
         return args, cur.take(args[1] * args[2])
     if tag == FILL:
-        return cur.pull("IIIB"), b""
+        return _bounded(cur.pull("IIIB")), b""
     if tag == PALETTE:
         pid, size = cur.pull("II")
         if not 0 < size <= 256:
@@ -219,7 +229,10 @@ def _record(cur: Cursor, tag: int) -> tuple[list[int], bytes]:
         args = cur.pull("IIIB")
         if args[3] not in GENERATORS:
             raise Breach("unknown generator")
-        return args + cur.pull(GENERATORS[args[3]]), b""
+        own = cur.pull(GENERATORS[args[3]])
+        if args[3] in (1, 2) and not own[-1]:
+            raise Breach("generator without effect")
+        return _bounded(args) + own, b""
     if tag == EXTERNAL:
         return cur.pull("III"), cur.take(32)
     if tag in (CHECKPOINT, CHECKPOINT_BOUND):

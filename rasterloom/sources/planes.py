@@ -89,6 +89,8 @@ class Media:
     def check(self) -> None:
         if self.layout not in LAYOUTS or min(self.width, self.height) < 1 or min(self.aspect) < 1:
             raise c.Breach("descriptor")
+        if self.width * self.height > c.MOST_SAMPLES:
+            raise c.Breach("too large")
         if len(self.depths) != len(LAYOUTS[self.layout][1]) or not all(1 <= d <= 16 for d in self.depths):
             raise c.Breach("depths")
 
@@ -179,6 +181,8 @@ class _Reader(c.Cursor):
         oid, w, h, kind = self.pull("IIIB")
         if not w or not h:
             raise c.Breach("empty object")
+        if w * h > c.MOST_SAMPLES:
+            raise c.Breach("too large")
         if kind in FAMILY_OBJECTS and not features & FAMILIES:
             raise c.Breach("feature not declared")
         if kind == FILL:
@@ -190,7 +194,10 @@ class _Reader(c.Cursor):
             (program,) = self.pull("B")
             if program not in GENERATORS:
                 raise c.Breach("unknown generator")
-            return oid, w, h, kind, [program, *self.pull(GENERATORS[program])], b""
+            own = self.pull(GENERATORS[program])
+            if program in (1, 2) and not own[-1]:
+                raise c.Breach("generator without effect")
+            return oid, w, h, kind, [program, *own], b""
         if kind not in (RASTER, INDEX):
             raise c.Breach("unknown object")
         (size,) = self.pull("Q")
@@ -295,6 +302,10 @@ class PlaneScene(decode.Scene):
         self.instances = {i: [o, x, y] for i, o, x, y in program.instances}
         self.overlay = {(x, y): v for x, y, v in program.overlay}
         self.palettes = {k: list(v) for k, v in program.palettes.items()}
+        if len(self.objects) != len(program.objects) or len(self.instances) != len(program.instances):
+            raise c.Breach("id twice")
+        if any(o not in self.objects for o, _, _ in self.instances.values()):
+            raise c.Breach("unknown object")
         for iid, kind, args in program.motion:
             tag = {1: 0x26, PROGRAM_MOTION: c.TRAJECTORY, 3: 0x30, 4: 0x2F}[kind]
             super().apply(tag, [iid, *args], b"")
@@ -312,6 +323,15 @@ class PlaneScene(decode.Scene):
             raise c.Breach("palette")
         return np.array(palette, np.uint32)[index]
 
+    def check(self, tag: int, args: list[int]) -> None:
+        """That an operation's ids are there, and new where they must be."""
+        if tag == 0x22 and (args[1] not in self.objects or args[0] in self.instances):
+            raise c.Breach("unknown object" if args[1] not in self.objects else "instance twice")
+        if tag in (0x23, 0x29, TRAJECTORY, 0x2F, 0x30) and args[0] not in self.instances:
+            raise c.Breach("unknown instance")
+        if tag == 0x2E and args[0] not in self.palettes or tag == 0x2D and (not args[0] or len(args) < 2):
+            raise c.Breach("palette")
+
     def step(self, ops: list[tuple], before: np.ndarray) -> np.ndarray:
         """The picture after a group: the state's operations first, then what is painted, then the canvas's own."""
         late = []
@@ -321,8 +341,7 @@ class PlaneScene(decode.Scene):
                     raise c.Breach("object twice")
                 self.objects[args[0]] = args
             elif tag in STATE:
-                if tag == 0x22 and args[1] not in self.objects:
-                    raise c.Breach("unknown object")
+                self.check(tag, args)
                 self.apply(STATE[tag], args[:1] if tag == 0x2D else args, args[1:] if tag == 0x2D else data)
             else:
                 late.append((tag, args, data))

@@ -18,7 +18,7 @@ def sealed(data):
 def full():
     raster = np.arange(12, dtype="<u2").tobytes()
     deep = codec.point_block(np.array([0, 3]), np.array([1, 2]), np.array([4000, 5]), deep=True)
-    one = planes.Plane(9, [(1, 4, 3, planes.RASTER, [], raster), (2, 2, 2, planes.INDEX, [], bytes([0, 1, 1, 0])), (3, 6, 5, planes.GENERATOR, [3, 99], b"")], [(1, 1, 0, 0), (2, 2, 3, 2), (3, 3, 1, 1)], [(0, 0, 4095)])
+    one = planes.Plane(9, [(1, 4, 3, planes.RASTER, [], raster), (2, 2, 2, planes.INDEX, [], bytes([0, 1, 1, 0])), (3, 2, 2, planes.GENERATOR, [3, 99], b"")], [(1, 1, 0, 0), (2, 2, 3, 2), (3, 3, 1, 1)], [(0, 0, 4095)])
     one.palettes, one.motion = {4: [7, 3000]}, [(1, 2, [0, 1, 0, 2, 1, 0, 1, 1, 0, 3]), (2, 4, [4]), (3, 3, [128, 0, 0, 0, 128, 0])]
     one.groups = [(1, [(0x2C, [], b""), (0x2E, [4, 1, 2999], b"")]), (2, [(0x21, (9, 2, 1, planes.FILL, [77], b""), b""), (0x22, [8, 9, 5, 5], b""), (0x28, [], deep)]), (5, [(0x2C, [], b""), (0x32, [0, 256, 0, 256, 0, 256, 0], b""), (0x26, [1, 1, 50], b"")])]
     return planes.Media(8, 6, "yuva444", (12, 12, 12, 12), (1, 2, 3, 4, 0), (4, 3), 1, 2), [one, planes.Plane(5), planes.Plane(0), planes.Plane(4095)]
@@ -36,10 +36,10 @@ def test_round_trip_and_replay():
 
 def test_features_are_the_fewest():
     plain = planes.write(planes.Media(4, 4, "gray", (8,)), [planes.Plane(1)], sha)
-    assert plain[17:21] == b"\0\0\0\0"
+    assert plain[13:17] == b"\0\0\0\0"
     for bits in (1, 2, 4):
         with pytest.raises(c.Breach):
-            planes.parse(sealed(plain[:17] + bytes([bits, 0, 0, 0]) + plain[21:]), sha)
+            planes.parse(sealed(plain[:13] + bytes([bits, 0, 0, 0]) + plain[17:]), sha)
 
 
 def test_damage_is_refused():
