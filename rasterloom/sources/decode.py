@@ -85,6 +85,8 @@ class Scene:
         elif tag == 0x2D:
             self.palettes[iid] = list(data)
         elif tag == 0x2E:
+            if iid not in self.palettes:
+                raise c.Breach("unknown palette")
             for i in range(1, len(args), 2):
                 if args[i] >= len(self.palettes[iid]):
                     raise c.Breach("palette index")

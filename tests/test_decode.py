@@ -72,3 +72,22 @@ def test_in_spark(spark):
     assert {r.path: r[1] if r.path != "bad" else r["max(error)"] for r in got}["bad"] == "magic"
     sizes = {r.path: (r.before, r.after) for r in rewrite.optimize(files.filter("path <> 'bad'")).collect()}
     assert sizes["ramps"][1] < sizes["ramps"][0]
+
+
+def test_damage_gives_an_error_row_and_nothing_else(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for name, data in containers():
+        for k in range(12):
+            body = bytearray(data[:-32])
+            body[rng.randrange(len(body))] ^= 1 << rng.randrange(8)
+            rows.append((f"{name} {k}", bytearray(bytes(body) + c.blake3(bytes(body)))))
+    rows.append(("palette", bytearray(c.write(4, 4, [(c.FILL, [1, 1, 1, 1], b""), (c.CHECKPOINT, [0, 1, 1, 0, 0], b"")], [(1, [(0x2E, [9, 0, 1], b"")])]))))
+    rows.append(("transform", bytearray(c.write(4, 4, [(c.FILL, [1, 1, 1, 1], b""), (c.CHECKPOINT, [0, 1, 1, 0, 0], b"")], [(1, [(0x2A, [], b"\x02\x00\x01")])]))))
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = decode.frames(files).groupBy("path").agg({"error": "max", "frame": "count"}).collect()
+    assert len(got) == len(rows) and all(r["max(error)"] or r["count(frame)"] for r in got)
+    assert {r.path: r["max(error)"] for r in got if r.path in ("palette", "transform")} == {"palette": "unknown palette", "transform": "truncated"}
+    optimised = rewrite.optimize(files).collect()
+    assert len(optimised) == len(rows) and any(r.error for r in optimised) and any(r.after for r in optimised)
