@@ -8,7 +8,9 @@ at the lowest score less 10; unknown pieces next to each other are one.
 
 The vocabulary is a parameter: pieces with scores. From a file of the public SentencePiece format the pieces are read, and a
 file whose scores are only ranks (BPE) gets the score -ln(rank + 2). Counts of a task's words are kept while it runs, up to
-CACHE of them. Defined results: null and empty texts have no tokens; repeated rows are counted each.
+CACHE of them, of at most CACHED characters each. Defined results: null and empty texts have no tokens; repeated rows and rows without an id are
+counted each; a very long word takes memory for its longest piece only; an empty table has no rows; a column named n_tokens is
+replaced, all others are carried along.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from . import common
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE, CACHED = 400_000, 64  # words, and characters of a word that is kept
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -55,33 +57,38 @@ class PieceCounter:
         if pieces:
             self.machine.make_automaton()
         self.empty = not pieces
+        self.reach = max([1, *(len(p) for p, _ in pieces)]) + 1
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, int] = {}
 
     def pieces(self, word: str) -> int:
         """Of one marked word."""
-        n = len(word)
-        best: list[float | None] = [0.0] + [None] * n
-        count, unknown = [0] * (n + 1), [False] * (n + 1)
+        reach = self.reach  # no piece goes further back: a ring of the last places is all that is kept of a long word
+        best: list[float | None] = [0.0] + [None] * (reach - 1)
+        count, unknown = [0] * reach, [False] * reach
         matches = iter(()) if self.empty else self.machine.iter(word)
         at = next(matches, None)
-        for end in range(1, n + 1):
+        last = 0
+        for end in range(1, len(word) + 1):
+            here, prev = end % reach, (end - 1) % reach
             top, pieces, lone = None, 0, False
             while at is not None and at[0] == end - 1:  # from the longest to the shortest: from left to right
                 length, score = at[1]
-                before = best[end - length]
+                start = (end - length) % reach
+                before = best[start]
                 if before is not None:
                     if length == 1:
                         lone = True
                     if top is None or before + score > top:
-                        top, pieces = before + score, count[end - length] + 1
+                        top, pieces = before + score, count[start] + 1
                 at = next(matches, None)
             odd = False
-            if not lone and best[end - 1] is not None and (top is None or best[end - 1] + self.unknown > top):
-                top, odd = best[end - 1] + self.unknown, True
-                pieces = count[end - 1] + (not unknown[end - 1])
-            best[end], count[end], unknown[end] = top, pieces, odd
-        return count[n]
+            if not lone and best[prev] is not None and (top is None or best[prev] + self.unknown > top):
+                top, odd = best[prev] + self.unknown, True
+                pieces = count[prev] + (not unknown[prev])
+            best[here], count[here], unknown[here] = top, pieces, odd
+            last = pieces
+        return last
 
     def text(self, text: str) -> int:
         total, cache = 0, self.cache
@@ -90,7 +97,9 @@ class PieceCounter:
             if n is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                n = cache[word] = self.pieces(MARK + word)
+                n = self.pieces(MARK + word)
+                if len(word) <= CACHED:
+                    cache[word] = n
             total += n * times
         return total
 
