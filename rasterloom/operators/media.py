@@ -90,3 +90,26 @@ def program_errors(programs: DataFrame) -> DataFrame:
     n = F.size("segments")
     pairs = F.zip_with(F.slice("segments", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("segments", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: linear(a) & linear(b) & (a["vx"] == b["vx"]) & (a["vy"] == b["vy"]))
     return programs.withColumn("error", F.when(short, "steps").when(F.exists(pairs, lambda p: p), "unmerged"))
+
+
+def observation_errors(observed: DataFrame, epochs: DataFrame) -> DataFrame:
+    """What observations break of their epochs: (obs, error), an empty list for one that holds.
+
+    epochs: epoch_id, width, height, layout, depths (one for all planes, or one each), known: the layout's planes in order as an array
+    of struct (sub_w, sub_h). observed: obs, epoch_id, planes (array of struct w, h, depth, bytes)."""
+    wide = lambda n, k: F.call_function("shiftright", n + F.call_function("shiftleft", F.lit(1), k) - 1, k)
+    depth = lambda i: F.when(F.size("depths") == 1, F.get("depths", F.lit(0))).otherwise(F.get("depths", i))
+    want = F.transform("known", lambda p, i: F.struct(wide(F.col("width"), p["sub_w"]).alias("w"), wide(F.col("height"), p["sub_h"]).alias("h"), depth(i).alias("depth")))
+    rows = observed.join(epochs.withColumn("want", want), "epoch_id", "left")
+    fits = F.zip_with("planes", "want", lambda a, b: (a["w"] == b["w"]) & (a["h"] == b["h"]) & (a["depth"] == b["depth"]))
+    whole = F.transform("planes", lambda a: a["bytes"] == a["w"] * a["h"] * F.when(a["depth"] > 8, 2).otherwise(1))
+    error = F.when(F.col("want").isNull(), "unknown epoch").when(~F.size("depths").isin(1) & (F.size("depths") != F.size("known")), "depths").when(F.size("planes") != F.size("want"), "plane count")
+    error = error.when(~F.forall(fits, lambda x: F.coalesce(x, F.lit(False))), "geometry").when(~F.forall(whole, lambda x: x), "payload length")
+    return rows.select("obs", error.alias("error"))
+
+
+def work_within(instances: DataFrame, cap: int) -> DataFrame:
+    """Streams whose affine instances (stream_id, width, height of the canvas) ask for no more samples than the cap: stream_id, work, ok.
+    The sum is taken before anything is painted."""
+    work = instances.groupBy("stream_id").agg(F.sum(F.col("width").cast("decimal(20,0)") * F.col("height")).alias("work"))
+    return work.select("stream_id", F.col("work").cast("long").alias("work"), (F.col("work") <= cap).alias("ok"))

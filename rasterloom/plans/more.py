@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import chain, codec, compare, court, lossy
+from ..operators import codec, compare, court, lossy, media
 from ..sources import container, script
 from ..sources import frames as raw
 from ..streaming import receiver
@@ -216,8 +216,8 @@ SELECT t.stream_id, CAST(sum(n) AS BIGINT) AS guided_candidates, 6 * count(*) AS
 def affine_budget(spark, sf_dir):
     """Work of affine instances against a cap, before anything is painted."""
     k = F.col("p_partkey")
-    rows = read(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("stream_id"), ((1 + k % 300) * (1 + k % 200)).alias("work"))
-    return rows.groupBy("stream_id").agg(F.sum("work").alias("work"), (F.sum("work") > 500000).alias("over"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("stream_id"), (1 + k % 300).alias("width"), (1 + k % 200).alias("height"))
+    return media.work_within(rows, 500000).select("stream_id", "work", (~F.col("ok")).alias("over"))
 
 
 AFFINE_BUDGET = "SELECT CAST(p_size AS INTEGER) AS stream_id, CAST(sum((1 + p_partkey % 300) * (1 + p_partkey % 200)) AS BIGINT) AS work, sum((1 + p_partkey % 300) * (1 + p_partkey % 200)) > 500000 AS over FROM part GROUP BY p_size"

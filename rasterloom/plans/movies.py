@@ -210,7 +210,21 @@ def search_box(spark, sf_dir):
 SEARCH_BOX = f"""WITH m(k, dy, dx) AS (VALUES (0, -64, -64), (2, 0, -3), (7, -1, -2), (11, 2, 0))
 SELECT s_suppkey AS stream_id, CAST(f AS BIGINT) AS frame, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, CAST(0 AS BIGINT) AS bad FROM supplier JOIN m ON k = s_suppkey % {len(KINDS)}, range(1, {FRAMES_EACH}) r(f)"""
 
+def guided(spark, sf_dir):
+    """Guided against full search of the movies whose structure stays: the bytes are the same and no more is proposed."""
+    stays = movies(spark, sf_dir).filter((F.col("stream_id") % len(KINDS)).isin(*STEADY))
+    total = lambda c: F.aggregate("decisions", F.lit(0).cast("long"), lambda acc, d: acc + d[c])
+    rows = lambda g: encode.encoded(stays, guided=g).select("path", F.octet_length("content").alias("bytes"), total("proposals").alias("n"))
+    both = rows(True).join(rows(False).select("path", F.col("bytes").alias("all_bytes"), F.col("n").alias("all_n")), "path")
+    return both.select(F.col("path").cast("long").alias("stream_id"), (F.col("bytes") == F.col("all_bytes")).alias("same_bytes"), (F.col("n") <= F.col("all_n")).alias("no_more"))
+
+
+#: Kinds with one winner throughout.
+STEADY = tuple(k for k, (_, names) in enumerate(KINDS) if len(set(names)) == 1)
+GUIDED = f"SELECT s_suppkey AS stream_id, true AS same_bytes, true AS no_more FROM supplier WHERE s_suppkey % {len(KINDS)} IN {STEADY}"
+
 _ALL = {
+    "o9_8_guided_encode": (guided, GUIDED),
     "o7_9_toroidal_shift": (toroidal, TOROIDAL),
     "o7_15_search_box": (search_box, SEARCH_BOX),
     "o13_4_view_through_copies": (views, VIEWS),

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import motion, pixels
+from ..operators import media, motion, pixels
 from ..sources import planes
 from .adapters import read
 from .archives import sha
@@ -166,7 +166,28 @@ UNION ALL SELECT s, 1, y * 8 + x, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 1 AN
 UNION ALL SELECT s, 2, y * 8 + x, (greatest(x - 1, 0) * 31 + y * 77 + s) % 1024 FROM s, range(0, 8) a(x), range(0, 6) b(y))
 SELECT s AS s_suppkey, CAST(plane AS INTEGER) AS plane, CAST(10 AS INTEGER) AS depth, count(*) AS n, CAST(sum(v * (p + 1)) AS BIGINT) AS weighted FROM v GROUP BY ALL"""
 
+def observations_checked(spark, sf_dir):
+    """Observations of orders against four epochs, some with a wrong plane, depth, length or epoch."""
+    k = F.col("o_orderkey")
+    plane = lambda a, b: F.struct(F.lit(a).alias("sub_w"), F.lit(b).alias("sub_h"))
+    kinds = {0: ("yuv420", F.array(plane(0, 0), plane(1, 1), plane(1, 1)), F.array(F.lit(8))), 1: ("yuv422", F.array(plane(0, 0), plane(1, 0), plane(1, 0)), F.array(F.lit(10), F.lit(8), F.lit(8))), 2: ("gray", F.array(plane(0, 0)), F.array(F.lit(12))), 3: ("yuv444", F.array(*[plane(0, 0)] * 3), F.array(F.lit(8), F.lit(8)))}
+    epochs = None
+    for i, (layout, known, depths) in kinds.items():
+        one = spark.range(1).select(F.lit(i).cast("long").alias("epoch_id"), F.lit(17).alias("width"), F.lit(11).alias("height"), F.lit(layout).alias("layout"), known.alias("known"), depths.alias("depths"))
+        epochs = one if epochs is None else epochs.unionByName(one)
+    own = lambda w, h, d: F.struct(F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(d).alias("depth"), (w * h * (2 if d > 8 else 1) - F.when(k % 11 == 0, 1).otherwise(0)).alias("bytes"))
+    luma = F.struct((17 + F.when(k % 7 == 0, 1).otherwise(0)).alias("w"), F.lit(11).alias("h"), F.when(k % 5 == 1, 10).when(k % 5 == 2, 12).otherwise(8).alias("depth"), F.lit(0).alias("bytes"))
+    luma = F.struct(luma["w"].alias("w"), luma["h"].alias("h"), luma["depth"].alias("depth"), (luma["w"] * 11 * F.when(luma["depth"] > 8, 2).otherwise(1)).alias("bytes"))
+    planes_ = F.when(k % 5 == 0, F.array(luma, own(9, 6, 8), own(9, 6, 8))).when(k % 5 == 1, F.array(luma, own(9, 11, 8), own(9, 11, 8))).when(k % 5 == 2, F.array(luma)).otherwise(F.array(luma, own(17, 11, 8), own(17, 11, 8)))
+    observed = read(spark, sf_dir, "orders").select(k.alias("obs"), (k % 5).alias("epoch_id"), F.when(k % 13 == 0, F.slice(planes_, 1, 1)).otherwise(planes_).alias("planes"))
+    return media.observation_errors(observed, epochs)
+
+
+OBSERVATIONS_CHECKED = """SELECT o_orderkey AS obs, CASE WHEN e = 4 THEN 'unknown epoch' WHEN e = 3 THEN 'depths' WHEN o_orderkey % 13 = 0 AND e <> 2 THEN 'plane count' WHEN o_orderkey % 7 = 0 THEN 'geometry'
+WHEN o_orderkey % 11 = 0 AND e <> 2 THEN 'payload length' END AS error FROM (SELECT o_orderkey, o_orderkey % 5 AS e FROM orders)"""
+
 _ALL = {
+    "o15_4_observation_checks": (observations_checked, OBSERVATIONS_CHECKED),
     "o1_10_planes_replayed": (planes_replayed, PLANES_REPLAYED),
     "o1_16_unpack_all_formats": (unpack, UNPACK),
     "o1_17_repack_all_formats": (repack, REPACK),

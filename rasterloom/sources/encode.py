@@ -7,6 +7,7 @@ one task's work; streams are apart.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators import codec, compare
+from ..operators import codec, compare, govern
 from . import container as c
 from . import decode
 
@@ -91,9 +92,40 @@ def least_block(n: int, data: np.ndarray) -> int:
     return 9 + min(n, 512 + int(-n * (p * np.log2(p)).sum() / 8))
 
 
+class Governor:
+    """What the last winners say about where to search: the same rules as govern.family_plans(), frame by frame."""
+
+    def __init__(self):
+        self.ring: deque[tuple[str, int]] = deque(maxlen=govern.RING)
+        self.seen, self.broaden = 0, True
+
+    def plan(self) -> dict[str, str]:
+        if self.broaden:
+            return dict.fromkeys(govern.MODES, "full")
+        active = {family for family, _ in self.ring}
+        out = {}
+        for mode in govern.MODES:
+            families, how = govern.TRUSTED_BY.get(mode, ((), "off"))
+            swept = govern.SWEPT.get(mode, "off") if self.seen % govern.SWEEP == 0 else "off"
+            out[mode] = how if active & set(families) else swept
+        return out
+
+    def observe(self, family: str, payload: int) -> None:
+        novel = bool(self.ring) and family not in {f for f, _ in self.ring}
+        self.ring.append((family, payload))
+        payloads = sorted(p for _, p in self.ring)
+        median = payloads[len(payloads) // 2]
+        self.broaden = novel or len(payloads) >= govern.SLEW_RING and median > 0 and payload > govern.SLEW * median
+        self.seen += 1
+
+
 class Encoder:
-    def __init__(self, frames: list[np.ndarray], background: int = 0, families: tuple[str, ...] = FAMILIES, overlay_cap: int = OVERLAY_CAP):
+    """With `guided` each frame is searched as the governor plans, else in full. A plan never decides what is exact or cheapest."""
+
+    def __init__(self, frames: list[np.ndarray], background: int = 0, families: tuple[str, ...] = FAMILIES, overlay_cap: int = OVERLAY_CAP, guided: bool = False):
         self.frames, self.families, self.cap = frames, families, overlay_cap
+        self.governor = Governor() if guided else None
+        self.plan = dict.fromkeys(govern.MODES, "full")
         self.height, self.width = frames[0].shape
         self.scene = decode.Scene(self.width, self.height)
         self.scene.background = background
@@ -137,6 +169,8 @@ class Encoder:
             yield Proposal("unchanged", GROUP, [])
             return
         state = self.scene
+        if self.plan["clears"] == "off":
+            return
         if (target == state.background).all():
             yield Proposal("fill", GROUP + 2, [(0x28, [], b""), (0x29, [], b"")])
         if state.instances:
@@ -159,6 +193,8 @@ class Encoder:
         if fix := self.correction(base, target, best, GROUP):
             yield Proposal("rans_residual" if fix[2][0] else "residual", group_bytes([fix]), [fix])
         mask = codec.mask_bytes(self.width, self.height)
+        if self.plan["transform"] == "off" or self.plan["transform"] == "probe" and 16 * len(x) < target.size:
+            return
         if 9 * len(x) >= mask + 64 and GROUP + 5 + 2 + mask + 8 + 18 < best:
             fix = (0x2A, [], codec.transform_block(base, target))
             yield Proposal("transform_residual", group_bytes([fix]), [fix])
@@ -168,7 +204,9 @@ class Encoder:
         yield self.reset("exact_ref" if one in self.ids else "raw", one)
 
     def generated(self, target, base, prev, best) -> Iterator[Proposal]:
-        for kind, args in programs(target):
+        for kind, args in programs(target) if self.plan["generators"] != "off" else ():
+            if kind and self.plan["generators"] == "probe":
+                continue
             made = decode.generated(kind, args, self.width, self.height)
             one = (c.GENERATOR, (self.width, self.height, kind, *args), b"")
             misses = int((made != target).sum())
@@ -186,6 +224,8 @@ class Encoder:
             yield Proposal("prev_diff", group_bytes([everything]), [everything])
         elif fix := self.correction(prev, target, best, GROUP + 25):
             yield Proposal("prev_diff", group_bytes([everything, fix]), [everything, fix])
+        if self.plan["copies"] == "off":
+            return
         for dx, dy in compare.wraps(prev, target):
             moves = [(0x24, [sx, sy, cw, ch, (sx + dx) % w, (sy + dy) % h], b"") for sx, cw in ((0, w - dx), (w - dx, dx)) for sy, ch in ((0, h - dy), (h - dy, dy)) if cw and ch]
             yield Proposal("copy_rect", group_bytes(moves), moves)
@@ -201,7 +241,7 @@ class Encoder:
 
     def moved(self, target, base, prev, best) -> Iterator[Proposal]:
         scene = self.scene
-        if len(scene.instances) != 1 or scene.overlay:
+        if self.plan["translation"] == "off" or len(scene.instances) != 1 or scene.overlay:
             return
         ((iid, (oid, x, y)),) = scene.instances.items()
         if tuple(scene.objects[oid][1][1:3]) != (self.width, self.height):
@@ -222,7 +262,7 @@ class Encoder:
         changed = base != target
         if not changed.any() or any(changed[y, x] for x, y in self.scene.overlay if 0 <= x < self.width and 0 <= y < self.height):
             return
-        for side in CELLS:
+        for side in {"off": (), "probe": CELLS[2:3], "full": CELLS}[self.plan["regions"]]:
             ys, xs = np.nonzero(changed)
             cells = sorted(set(zip((ys // side).tolist(), (xs // side).tolist())))
             if len(cells) > min(MOST_CELLS, max(1, target.size // 4)):
@@ -245,6 +285,8 @@ class Encoder:
 
     def step(self, n: int, target: np.ndarray, prev: np.ndarray) -> np.ndarray:
         base, found, best = self.scene.painted(), [], 1 << 62
+        if self.governor:
+            self.plan = self.governor.plan()
         for family in (self.simple, self.whole, self.moved, self.generated, self.tiled, self.points, self.copied):
             for p in family(target, base, prev, best):
                 if p.family in self.families:
@@ -266,6 +308,8 @@ class Encoder:
         prices: dict[str, int] = {}
         for q in found:
             prices[q.family] = min(q.payload, prices.get(q.family, q.payload))
+        if self.governor:
+            self.governor.observe(p.family, p.payload)
         self.decisions.append(Decision(n, p.family, p.payload, len(found), prices))
         return canvas
 
@@ -308,9 +352,9 @@ def backgrounds(frames: list[np.ndarray]) -> list[int]:
     return sorted({0, 255, int(counts.argmax()), *(int(first[y, x]) for y in (0, -1) for x in (0, -1))})
 
 
-def swept(frames: list[np.ndarray], families: tuple[str, ...] = FAMILIES, features: int = 0) -> tuple[bytes, Encoder]:
+def swept(frames: list[np.ndarray], families: tuple[str, ...] = FAMILIES, features: int = 0, guided: bool = False) -> tuple[bytes, Encoder]:
     """The smallest of the containers of all candidate backgrounds, the first of equals, and its encoder."""
-    tries = [Encoder(frames, b, families) for b in backgrounds(frames)]
+    tries = [Encoder(frames, b, families, guided=guided) for b in backgrounds(frames)]
     best = min(tries, key=Encoder.run)  # the first of equals
     return best.container(features), best
 
@@ -320,11 +364,11 @@ def _frames(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint8).reshape(h, w) for s, w, h in zip(pdf["samples"], pdf["w"], pdf["h"])]
 
 
-def encoded(frames: DataFrame, families: tuple[str, ...] = FAMILIES, features: int = 0) -> DataFrame:
+def encoded(frames: DataFrame, families: tuple[str, ...] = FAMILIES, features: int = 0, guided: bool = False) -> DataFrame:
     """Packed frames (stream_id, frame, w, h, samples) as containers: path, content, background, decisions."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, own = swept(_frames(pdf), families, features)
+        data, own = swept(_frames(pdf), families, features, guided)
         rows = [{"frame": d.frame, "family": d.family, "payload": d.payload, "proposals": d.proposals, "prices": d.prices} for d in own.decisions]
         return pd.DataFrame({"path": [str(pdf["stream_id"].iloc[0])], "content": [data], "background": [own.scene.background], "decisions": [rows]})
 
