@@ -252,12 +252,13 @@ def shingle_sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingles(lowered(t), shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h"])
 
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, h array<long>")
+    # by shuffles at every size: nothing that grows with the table is broadcast
+    return texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, h array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those pairs (u, v) whose sets have a Jaccard similarity of `least` or more; two empty sets are alike."""
-    own = lambda c: sets.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"))
+    own = lambda c: sets.select(F.col("id").alias(c), F.col("h").alias(f"h{c}")).hint("merge")
     both = pairs.join(own("u"), "u").join(own("v"), "v")
     shared = F.size(F.array_intersect("hu", "hv"))
     return both.filter(shared >= F.lit(least) * (F.size("hu") + F.size("hv") - shared)).select("u", "v")
@@ -266,9 +267,9 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def copies(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """(node, root) by links of similarity `least` or more, of found (id, f0, f1).
 
-    Every class ranks its candidates. They are verified in rounds, first the first of each class, then the second, the third and
-    fourth and so on; those whose ends are connected by then need no verifying, so large groups of copies cost little. All of the
-    others are verified.
+    Every class ranks its candidates. They are verified in rounds, first the first of each class, then the next seven, then four
+    times as many and so on; those whose ends are connected by then need no verifying, so large groups of copies cost little. All of
+    the others are verified.
     """
     classes = common.written(found.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")))
     todo = links(classes, WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
@@ -276,24 +277,22 @@ def copies(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
     ranked = common.written(todo.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("v"))))
     sets = common.written(shingle_sets(ranked.select(F.explode(F.array("u", "v")).alias("id")).distinct(), texts, shingle))
     most = ranked.agg(F.coalesce(F.max("nth"), F.lit(0)).alias("n")).first()["n"]
-    sure = common.written(ranked.select("u", "v").limit(0))
-    roots, low, high = common.written(components(sure)), 0, 1
+    roots, low, high = None, 0, 1
     while low < most:
-        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         batch = ranked.filter((F.col("nth") > low) & (F.col("nth") <= high)).select("u", "v")
-        if low:
+        if roots is not None:
+            at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")).hint("merge")
             batch = batch.join(at("u"), "u", "left").join(at("v"), "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-        batch = common.written(batch)
-        if batch.take(1):
-            more = common.written(similar(batch, sets, least))
-            if more.take(1):
-                sure, before = common.written(sure.unionAll(more)), (sure, roots)
-                roots = common.written(components(sure))
-                common.removed(*before)
-            common.removed(more)
-        common.removed(batch)
-        low, high = high, high * 2
-    common.removed(classes, ranked, sets, sure)
+            batch = common.written(batch)
+        if roots is None or batch.take(1):
+            more = similar(batch, sets, least)
+            # what hangs together already counts as its links to the root
+            edges = more if roots is None else more.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots = common.written(components(edges))
+        low, high = high, max(8, 4 * high)
+    if roots is None:
+        roots = ranked.select(F.col("u").alias("node"), F.col("v").alias("root"))  # no candidates at all
+    common.removed(classes, sets)
     return roots
 
 
@@ -308,14 +307,14 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR) -
     classes = rows.groupBy("id").agg(F.min(me).alias("least")).join(roots, F.col("id") == roots.node, "left")
     tied = common.written(classes.select("id", "least", F.coalesce("root", "id").alias("root")))
     smallest = common.written(tied.groupBy("root").agg(F.min("least").alias("first")))
-    by_class = common.written(tied.join(smallest, "root").select("id", "first"))
+    by_class = common.written(tied.join(smallest.hint("merge"), "root").select("id", "first"))
     common.removed(found, tied, smallest)
-    return rows.join(by_class, "id").select("doc_id", "tkey", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
+    return rows.join(by_class.hint("merge"), "id").select("doc_id", "tkey", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """docs with one row of each component of what near_duplicates or near_copies gave: the kept one, once where it is repeated."""
-    stay = grouped.filter("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
+    stay = grouped.filter("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct().hint("merge")
     keyed = docs.withColumn("__tkey", F.xxhash64("text"))
     kept = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__tkey"]).drop("__tkey")

@@ -4,7 +4,7 @@ from rasterloom.llm import common, pii
 
 from .test_decontam import brute as contaminated
 from .test_pii import naive
-from .test_simhash import brute_components, brute_fp
+from .test_simhash import jaccard
 
 
 @pytest.fixture(scope="module")
@@ -23,11 +23,21 @@ def test_stages(spark, rows, sf_dir, monkeypatch, model):
     assert kept.columns == docs.columns and 0 < kept.count() <= len(every)
     assert all(set(r[-4:]) == {"extra"} for r in kept.collect())
 
-    fps = [brute_fp(t) for _, t in rows[0]]
-    ids = [i for i, _ in rows[0]]
+    label = list(range(len(rows[0])))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, (_, t) in enumerate(rows[0]):
+        for j in range(i):
+            if jaccard(t, rows[0][j][1]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
     least = {}
-    for i, root in zip(ids, brute_components(list(range(len(ids))), fps)):
-        least[root] = min(i, least.get(root, i))
+    for i, (d, _) in enumerate(rows[0]):
+        least[find(i)] = min(d, least.get(find(i), d))
     kept = common.written(stage["simhash_near_dedup"](spark, docs, sf_dir))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
