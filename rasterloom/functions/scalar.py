@@ -37,8 +37,10 @@ def periodic(base: Column, sx: Column, sy: Column, period: Column, x: Column, y:
     return F.pmod(base + sx * F.pmod(x, period) + sy * F.pmod(y, period), F.lit(top + 1))
 
 
-@F.pandas_udf(T.IntegerType())
-def noise(seed: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+# Functions in Python are wrapped when they are called: a wrapped one holds a session, and this module travels to the workers.
+
+
+def noise_values(seed: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Top byte of a seeded hash of a coordinate; products wrap at 64 bits, which the session's checked arithmetic would refuse."""
     u = lambda s: s.to_numpy(np.int64).view(np.uint64)
     h = u(seed) ^ (u(x) * np.uint64(NOISE_X)) ^ (u(y) * np.uint64(NOISE_Y))
@@ -47,6 +49,10 @@ def noise(seed: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(((h ^ (h >> np.uint64(31))) >> np.uint64(56)).astype(np.int32))
 
 
+def noise(seed: Column, x: Column, y: Column) -> Column:
+    return F.pandas_udf(noise_values, T.IntegerType())(seed, x, y)
+
+
 def noise_deep(seed: Column, x: Column, y: Column, top: int) -> Column:
     """Noise scaled to samples of any depth."""
     return F.shiftright(noise(seed, x, y) * (top + 1), 8)
@@ -202,8 +208,7 @@ def side_data_class(kind: Column) -> Column:
 FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
 
 
-@F.pandas_udf(T.StringType())
-def fnv1a(data: pd.Series) -> pd.Series:
+def fnv1a_values(data: pd.Series) -> pd.Series:
     """64-bit FNV-1a of bytes, in 16 hexadecimal digits; rows are worked on together, a byte at a time."""
     rows = [bytes(d) for d in data]
     size = np.array([len(r) for r in rows])
@@ -213,3 +218,7 @@ def fnv1a(data: pd.Series) -> pd.Series:
         at = np.flatnonzero(size > k)
         h[at] = (h[at] ^ flat[first[at] + k]) * np.uint64(FNV_FACTOR)
     return pd.Series([f"{x:016x}" for x in h.tolist()])
+
+
+def fnv1a(data: Column) -> Column:
+    return F.pandas_udf(fnv1a_values, T.StringType())(data)

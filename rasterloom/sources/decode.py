@@ -174,7 +174,7 @@ def generated(kind: int, args: list[int], w: int, h: int) -> np.ndarray:
     elif kind == 2:
         out = (args[0] + args[1] * (x % args[3]) + args[2] * (y % args[3])) % 256
     else:
-        flat = scalar.noise.func(pd.Series(np.full(w * h, np.uint64(args[0]).view(np.int64))), pd.Series(x.ravel()), pd.Series(y.ravel()))
+        flat = scalar.noise_values(pd.Series(np.full(w * h, np.uint64(args[0]).view(np.int64))), pd.Series(x.ravel()), pd.Series(y.ravel()))
         out = flat.to_numpy().reshape(h, w)
     return out.astype(np.uint8)
 
