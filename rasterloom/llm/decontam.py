@@ -11,6 +11,8 @@ like a result are replaced by it, all others are carried along.
 from __future__ import annotations
 
 import math
+import sys
+import types
 import uuid
 
 import ahocorasick
@@ -77,16 +79,14 @@ class Machine:
         return hit, names
 
 
-#: One automaton a worker: the last one made, by the name of its items.
-_MADE: dict = {}
-
-
 def machine(name: str, items: list[tuple[str, str | None]], window: int) -> Machine:
-    """A worker that goes on to another task, or to another batch, does not build its automaton again."""
-    if name not in _MADE:
-        _MADE.clear()
-        _MADE[name] = Machine(items, window)
-    return _MADE[name]
+    """The automaton of the items of that name. A worker keeps the last one it made, so that its next task does not build it again; it
+    is kept outside of this module, which travels with every task."""
+    kept = sys.modules.setdefault("rasterloom_kept", types.ModuleType("rasterloom_kept")).__dict__.setdefault("automata", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = Machine(items, window)
+    return kept[name]
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
