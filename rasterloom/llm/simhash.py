@@ -4,13 +4,17 @@ A fingerprint is cut into segments, fewer than the differing bits that still lin
 segment differs by one bit at most: they share that segment with one bit taken out. Every fingerprint is therefore stored under
 as many keys as it has bits (a segment without one of its bits); keys are joined for equality and each pair found is verified.
 
-`near_duplicates` is exact: 64 bits in three segments link at up to four differing bits. `near_copies` is by similarity: 128 bits
-in eight segments give candidates, and those whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are links.
-A pair of similarity s differs in each bit with probability acos(2s / (1 + s)) / pi, so it becomes a candidate with probability
-0.93 at s = 0.8, 0.97 at 0.85 and 0.995 at 0.9.
-
-A key's group of over GROUP fingerprints is first split by the bits outside the key's segment, cut into one piece more than may
-differ, of which one is then equal; what is still large is searched from what is reached to what is left. Pairs are never listed.
+`near_duplicates` is exact: 64 bits in three segments link at up to four differing bits. A key's group of over GROUP fingerprints
+is first split by the bits outside the key's segment, cut into one piece more than may differ, of which one is then equal; what is
+still large is searched from what is reached to what is left. Pairs are never listed.
+
+`near_copies` is exact too, by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are
+linked. SimHash of 128 bits in eight segments finds most groups: each class is verified with one candidate. It would miss a
+pair of similarity s whose bits differ too much (each does with probability acos(2s / (1 + s)) / pi), and what connects candidates
+doesn't connect links, so an exact search follows: of two similar sets each has one of the other's among the first fifth of its
+shingles in any common order (a prefix). Members of a shingle's group that are not connected yet are held against each other by
+bounds on their overlap (sizes, places in the prefix, parities of SKETCH bits), and what these allow is verified on the whole sets.
+The order puts shingles that a sample has often last; it decides what the search costs, never what it finds.
 
 Fingerprint: a bit is 1 if more than half of the XXH64 values (seed 42) of the word shingles have it; the second 64 bits come
 from a bijection of those values. Defined results: a text without words (null, empty) has fingerprint zero, no shingles and
@@ -24,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,6 +46,8 @@ PART_ROWS, LEAST_PIECE = 2_000_000, 6
 #: Of the search by similarity: words of a shingle, least similarity, bits that candidates may differ in, words of 64 bits, first
 #: bit of each segment and the end.
 WORDS, SIMILAR, WIDE_BITS, WIDE, WIDE_CUTS = 5, 0.8, 30, 2, tuple(range(0, 129, 16))
+#: Parities of a set, a multiple of 64; texts and shingles of the sample that orders shingles; entries of one partition of a round.
+SKETCH, SAMPLE, OFTEN, ROUND_ROWS = 1024, 20_000, 1 << 16, 500_000
 
 
 def shingles(words: list[bytes], shingle: int) -> np.ndarray:
@@ -78,19 +84,15 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return majority(shingles(words, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
-    """(doc_id, tkey, fp long) of each row of docs (doc_id, text), or f0 and f1 with width 2; tkey, the text's xxhash64, tells rows
-    of one doc_id apart."""
-    names = ["fp"] if width == 1 else [f"f{k}" for k in range(width)]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, tkey, fp long) of each row of docs (doc_id, text); tkey, the text's xxhash64, tells rows of one doc_id apart."""
 
     def run(batches):
         for batch in common.sliced(batches):
-            rows = [shingles(lowered(t), shingle) for t in batch.column("text").to_pylist()]
-            fps = [[majority(common.mixed(h ^ np.uint64(k)) if k else h) for h in rows] for k in range(width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in fps)], names=["doc_id", "tkey", *names])
+            fps = [fingerprint(lowered(t), shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "tkey", "fp"])
 
-    schema = ", ".join(["doc_id long", "tkey long", *(f"{n} long" for n in names)])
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey")).mapInArrow(run, "doc_id long, tkey long, fp long")
 
 
 def segment_of(bit: int, cuts: tuple) -> int:
@@ -264,35 +266,185 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.filter(shared >= F.lit(least) * (F.size("hu") + F.size("hv") - shared)).select("u", "v")
 
 
-def copies(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(node, root) by links of similarity `least` or more, of found (id, f0, f1).
+def frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that a sample of about SAMPLE distinct texts (id, text) has often, the rarest first."""
+    each = max(1, texts.count() // SAMPLE)
+
+    def run(batches):
+        for batch in common.sliced(batches):
+            sets = [np.unique(shingles(lowered(t), shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    some = texts.filter(F.pmod("id", F.lit(each)) == 0).dropDuplicates(["id"]).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(OFTEN).toPandas()
+    return top["h"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
+
+
+def signatures(texts: DataFrame, often: np.ndarray, shingle: int, least: float) -> DataFrame:
+    """(id, f0, f1, n, bits, prefix) of texts (id, text): fingerprint, size and parities of the set of shingles, and as many of them,
+    in the order of values with those of `often` last, as a set of similarity `least` must share one of. A set of none has 0."""
+    values, rank = np.sort(often), np.argsort(often)
+
+    def first(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.zeros(1, np.int64)
+        size = len(h) - ceil(least * len(h)) + 1
+        if len(values):
+            at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+            known = values[at] == h
+            h = np.concatenate([h[~known], h[known][np.argsort(rank[at[known]])]])
+        return h[:size].view(np.int64)
+
+    def run(batches):
+        for batch in common.sliced(batches):
+            rows = [shingles(lowered(t), shingle) for t in batch.column("text").to_pylist()]
+            fps = [[majority(common.mixed(h ^ np.uint64(k)) if k else h) for h in rows] for k in range(WIDE)]
+            sets = [np.unique(h) for h in rows]
+            bits = [np.packbits(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes() for h in sets]
+            made = [*(pa.array(np.array(f, np.uint64).view(np.int64)) for f in fps), pa.array([len(h) for h in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([first(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "f0", "f1", "n", "bits", "prefix"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, f0 long, f1 long, n int, bits binary, prefix array<long>")
+
+
+def ceil(x):
+    """Rounded up, but for what products of fractions are off by; never above what the comparison of whole sets asks for."""
+    return np.ceil(x - 1e-6).astype(np.int64) if isinstance(x, np.ndarray) else int(np.ceil(x - 1e-6))
 
-    Every class ranks its candidates. They are verified in rounds, first the first of each class, then the next seven, then four
-    times as many and so on; those whose ends are connected by then need no verifying, so large groups of copies cost little. All of
-    the others are verified.
+
+def whole_groups(batches):
+    """Tables that hold all rows of each of their values of h; rows come sorted by it."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1], "left"))
+        if held and h[-1] != last:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        elif not held and cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+            batch = batch.slice(cut)
+        held.append(batch)
+        last = h[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def grouped_by(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and size of each run of equal values."""
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return begin, np.diff(np.append(begin, len(h)))
+
+
+def fitting(h, n, pos, bits, least: float, low: int = 1, high: int | None = None, skip=None):
+    """Pairs of places in the same group, from low to below high apart, that may have the similarity. Rows are sorted by h, then n;
+    bits (or None) are rows of 64-bit numbers; skip tells which pairs need no look."""
+    begin, size = grouped_by(h)
+    end, at, step = np.repeat(begin + size, size), np.arange(len(h)), low
+    while high is None or step < high:
+        at = at[at + step < end[at]]
+        at = at[n[at] >= ceil(least * n[at + step])]  # the next ones are larger still
+        if not len(at):
+            return
+        i = at if skip is None else at[~skip(at, at + step)]
+        need = ceil(least / (1 + least) * (n[i] + n[i + step]))
+        fits = np.minimum(n[i] - pos[i], n[i + step] - pos[i + step]) >= need
+        i, need = i[fits], need[fits]
+        if bits is not None:  # each shingle that only one of the sets has turns one parity over
+            i = i[np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int64) <= n[i] + n[i + step] - 2 * need]
+        if len(i):
+            yield i, i + step
+        step += 1
+
+
+def columns(t: pa.Table) -> tuple:
+    """h, id, n, pos and, where there are any, bits of entries."""
+    h, ids, n, pos = (t.column(c).to_numpy() for c in ("h", "id", "n", "pos"))
+    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(h), -1) if "bits" in t.column_names else None
+    return h, ids, n.astype(np.int64), pos.astype(np.int64), bits
+
+
+def partnered(entries: DataFrame, least: float, n_rows: int, per: int) -> DataFrame:
+    """The entries (h, id, n, pos, and bits) that have a fitting partner in their group, without bits."""
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // per))
+
+    def run(batches):
+        for t in whole_groups(batches):
+            h, _, n, pos, bits = columns(t)
+            keep = np.zeros(len(h), bool)
+            for i, j in fitting(h, n, pos, bits, least, skip=lambda i, j, keep=keep: keep[i] & keep[j]):
+                keep[i] = keep[j] = True
+            yield from t.select(["h", "id", "n", "pos"]).filter(pa.array(keep)).to_batches()
+
+    return entries.repartition(parts, "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "h long, id long, n int, pos int")
+
+
+def apart(entries: DataFrame, info: DataFrame, roots: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """(u, v, h, id, n, pos): pairs to verify, from low to below high places apart in a group, and (u null) the entries of groups that
+    reach further and are not connected. info is (id, bits)."""
+    rooted = info.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("id", "bits", F.coalesce("root", "id").alias("root"))
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // ROUND_ROWS))
+    full = entries.join(rooted.hint("merge"), "id").repartition(parts, "h").sortWithinPartitions("h", "n", "id")
+
+    def run(batches):
+        for t in whole_groups(batches):
+            h, root = t.column("h").to_numpy(), t.column("root").to_numpy()
+            begin, size = grouped_by(h)
+            mixed = np.maximum.reduceat(root, begin) != np.minimum.reduceat(root, begin)
+            t = t.filter(pa.array(np.repeat(mixed & (size > low), size)))
+            if not t.num_rows:
+                continue
+            h, ids, n, pos, bits = columns(t)
+            root, size = t.column("root").to_numpy(), grouped_by(h)[1]
+            pairs = [np.empty((0, 2), np.int64)]
+            for i, j in fitting(h, n, pos, bits, least, low, high, lambda i, j, root=root: root[i] == root[j]):
+                pairs.append(np.unique(np.sort(np.column_stack([ids[i], ids[j]]), axis=1)[:, ::-1], axis=0))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            if len(pairs):
+                none = [pa.nulls(len(pairs), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], names=["u", "v", "h", "id", "n", "pos"])
+            far = t.filter(pa.array(np.repeat(size > high, size))).select(["h", "id", "n", "pos"])
+            for batch in far.to_batches():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(batch.num_rows, pa.int64()) for _ in range(2)), *batch.columns], names=["u", "v", "h", "id", "n", "pos"])
+
+    return full.mapInArrow(run, "u long, v long, h long, id long, n int, pos int")
+
+
+def copies(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, root) by links of similarity `least` or more, of classes as signatures gives them, once for each text; removes classes.
+
+    First each class is verified with one of its candidates by SimHash. What is left apart is searched by shared prefixes, in each
+    group from neighbours to ever more distant members; what got connected by then needs no verifying, so that large groups of
+    copies cost little, and pairs that the bounds rule out are never listed.
     """
-    classes = common.written(found.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")))
+    entries = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
+    index = classes.select("id", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "id", "n", "pos")
+    sized = common.written(partnered(index, least, entries, PART_ROWS))
+    bits = lambda of: classes.select("id", "bits").join(of.select("id").distinct().hint("merge"), "id", "left_semi")
+    left = common.written(partnered(sized.join(bits(sized).hint("merge"), "id"), least, sized.count(), ROUND_ROWS))
+    info = common.written(bits(left))
+    common.removed(sized)
     todo = links(classes, WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
-    todo = todo.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    ranked = common.written(todo.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("v"))))
-    sets = common.written(shingle_sets(ranked.select(F.explode(F.array("u", "v")).alias("id")).distinct(), texts, shingle))
-    most = ranked.agg(F.coalesce(F.max("nth"), F.lit(0)).alias("n")).first()["n"]
-    roots, low, high = None, 0, 1
-    while low < most:
-        batch = ranked.filter((F.col("nth") > low) & (F.col("nth") <= high)).select("u", "v")
-        if roots is not None:
-            at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")).hint("merge")
-            batch = batch.join(at("u"), "u", "left").join(at("v"), "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-            batch = common.written(batch)
-        if roots is None or batch.take(1):
-            more = similar(batch, sets, least)
+    todo = common.written(todo.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u").agg(F.min("v").alias("v")))
+    common.removed(classes)
+    ids = todo.select(F.explode(F.array("u", "v")).alias("id")).unionAll(left.select("id")).distinct()
+    sets = common.written(shingle_sets(ids, texts, shingle))
+    roots = common.written(components(similar(todo, sets, least)))
+    common.removed(todo)
+    low, high = 1, 2
+    while left.take(1):
+        step = common.written(apart(left, info, roots, low, high, least))
+        pairs = step.filter("u IS NOT NULL").select("u", "v").distinct()
+        if pairs.take(1):
             # what hangs together already counts as its links to the root
-            edges = more if roots is None else more.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            edges = similar(pairs, sets, least).unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
             roots = common.written(components(edges))
-        low, high = high, max(8, 4 * high)
-    if roots is None:
-        roots = ranked.select(F.col("u").alias("node"), F.col("v").alias("root"))  # no candidates at all
-    common.removed(classes, sets)
+        left = common.written(step.filter("u IS NULL").select("h", "id", "n", "pos"))
+        common.removed(step)
+        low, high = high, max(9, 4 * high)
+    common.removed(sets, info)
     return roots
 
 
@@ -300,15 +452,15 @@ def near_copies(docs: DataFrame, shingle: int = WORDS, least: float = SIMILAR) -
     """(doc_id, tkey, component_id, kept) as near_duplicates gives them, by similarity. Texts are named by 60 bits of their SHA-256."""
     name = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
     texts = docs.select(name.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = common.written(fingerprints(docs.select(name.alias("doc_id"), "text"), shingle, WIDE).select(F.col("doc_id").alias("id"), "f0", "f1"))
+    classes = common.written(signatures(texts, frequent(texts, shingle), shingle, least).dropDuplicates(["id"]))
     rows = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), name.alias("id")))
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
-    roots = copies(found, texts, shingle, least)
+    roots = copies(classes, texts, shingle, least)
     classes = rows.groupBy("id").agg(F.min(me).alias("least")).join(roots, F.col("id") == roots.node, "left")
     tied = common.written(classes.select("id", "least", F.coalesce("root", "id").alias("root")))
     smallest = common.written(tied.groupBy("root").agg(F.min("least").alias("first")))
     by_class = common.written(tied.join(smallest.hint("merge"), "root").select("id", "first"))
-    common.removed(found, tied, smallest)
+    common.removed(tied, smallest)
     return rows.join(by_class.hint("merge"), "id").select("doc_id", "tkey", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
 
 
