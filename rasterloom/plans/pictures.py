@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import media, motion, pixels
 from ..sources import planes
-from .adapters import read
+from .adapters import read, spread
 from .archives import sha
 
 WIDTH, HEIGHT = 8, 6
@@ -109,7 +109,7 @@ def _pairs(spark, sf_dir, make):
             pairs = [make(int(s)) for s in pdf["s_suppkey"]]
             yield pd.DataFrame({"stream_id": pdf["s_suppkey"], "w": [a.shape[1] for a, _ in pairs], "h": [a.shape[0] for a, _ in pairs], "before": [np.ascontiguousarray(a).tobytes() for a, _ in pairs], "after": [np.ascontiguousarray(b).tobytes() for _, b in pairs]})
 
-    return read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "stream_id long, w int, h int, before binary, after binary")
+    return spread(read(spark, sf_dir, "supplier").select("s_suppkey")).mapInPandas(run, "stream_id long, w int, h int, before binary, after binary")
 
 
 def translation(spark, sf_dir):
