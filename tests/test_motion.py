@@ -46,6 +46,14 @@ def test_few_displacements_are_looked_at_sample_by_sample():
     assert 0 < len(looked) < 49 * 49 // 20
 
 
-@pytest.mark.parametrize("name", ["o7_14_estimate_global"])
+def test_each_pair_is_proposed_for_once(spark, monkeypatch):
+    a, b = pictures._turned(3)
+    found = motion.proposals(a, b)
+    want = motion.priced(a, b)
+    monkeypatch.setattr(motion, "proposals", None)
+    assert motion.priced(a, b, 8, found) == want
+
+
+@pytest.mark.parametrize("name", ["o7_14_estimate_global", "o7_13_refined_maps"])
 def test_suppliers_are_dealt_over_tasks(spark, name):
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4
