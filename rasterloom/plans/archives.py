@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import archive, blobs, build, container, rewrite
-from .adapters import LOG, read
+from .adapters import LOG, read, spread
 from .more import container_files
 
 
@@ -260,7 +260,7 @@ def collapsed(spark, sf_dir):
                 made.append(container.write(64, 48, [(container.FILL, [1, 8, 6, 200], b""), (container.CHECKPOINT, [0, 1, 1, 0, 0], b"")], groups))
             yield pd.DataFrame({"path": pdf["s_suppkey"].astype(str), "content": made})
 
-    files = read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "path string, content binary")
+    files = spread(read(spark, sf_dir, "supplier").select("s_suppkey")).mapInPandas(run, "path string, content binary")
     return rewrite.optimize(files, rewrite=rewrite.collapsed).select(F.col("path").cast("long").alias("s_suppkey"), "before", "after", "error")
 
 

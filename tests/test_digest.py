@@ -25,3 +25,13 @@ def test_scripts_of_one_file_are_many_tasks(spark):
     rows = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("name"), F.lit("canvas 64 48 background 1").alias("text"))
     plan = script.compiled(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(name" in plan
+
+
+def test_remembered_digests_are_of_their_own_message():
+    from rasterloom.functions import digest
+
+    digest._remembered.cache_clear()
+    message = b"ab" * 600
+    first = [digest.blake3(message), digest.blake3(message + b"c"), digest.blake3(message)]
+    assert first[0] == first[2] == digest._blake3(message) != first[1] and digest._remembered.cache_info().hits == 1
+    assert digest.blake3(bytearray(message)) == first[0]

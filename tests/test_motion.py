@@ -54,6 +54,6 @@ def test_each_pair_is_proposed_for_once(spark, monkeypatch):
     assert motion.priced(a, b, 8, found) == want
 
 
-@pytest.mark.parametrize("name", ["o7_14_estimate_global", "o7_13_refined_maps"])
+@pytest.mark.parametrize("name", ["o7_14_estimate_global", "o7_13_refined_maps", "o10_8_collapse"])
 def test_suppliers_are_dealt_over_tasks(spark, name):
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4
