@@ -27,11 +27,33 @@ def test_scripts_of_one_file_are_many_tasks(spark):
     assert "Exchange hashpartitioning(name" in plan
 
 
-def test_remembered_digests_are_of_their_own_message():
+def test_remembered_digests_are_of_their_own_message(monkeypatch):
     from rasterloom.functions import digest
 
-    digest._remembered.cache_clear()
-    message = b"ab" * 600
+    message, plain, made = bytes(range(240)) * 5, digest._blake3, []
+    monkeypatch.setattr(digest, "_blake3", lambda data: made.append(data) or plain(data))
     first = [digest.blake3(message), digest.blake3(message + b"c"), digest.blake3(message)]
-    assert first[0] == first[2] == digest._blake3(message) != first[1] and digest._remembered.cache_info().hits == 1
+    assert first[0] == first[2] == plain(message) != first[1] and made == [message, message + b"c"]
     assert digest.blake3(bytearray(message)) == first[0]
+
+
+def test_remembered_holds_so_many():
+    from rasterloom.functions.kept import remembered
+
+    made = []
+    got = [remembered("test", 2, k, lambda k=k: made.append(k) or k) for k in (1, 2, 1, 3, 2, 1)]
+    assert got == [1, 2, 1, 3, 2, 1] and made == [1, 2, 3, 1]
+
+
+def test_functions_need_no_package_on_the_executors(tmp_path):
+    """What travels runs where the package is missing."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from rasterloom.plans import movies
+    from rasterloom.sources import decode, encode, rewrite
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((movies.movie, encode.swept, decode.decode, rewrite.collapsed)))
+    code = "import pickle, sys; m, s, d, r = pickle.load(open('f', 'rb')); assert all(len(list(d(r(s(m(k, k))[0])))) == 6 for k in (1, 5, 13)) and 'rasterloom' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": ""}, check=True)
