@@ -99,45 +99,47 @@ def segment_of(bit: int, cuts: tuple) -> int:
     return max(k for k in range(len(cuts) - 1) if cuts[k] <= bit)
 
 
-def keys_of(classes: DataFrame, names: list[str], cuts: tuple = CUTS, extra: tuple = ()) -> DataFrame:
+def keys_of(classes: DataFrame, names: list[str], cuts: tuple = CUTS, extra: tuple = (), whole: bool = False) -> DataFrame:
     """(key int, names, extra): for each bit, that bit's segment without it, in 22 bits, and above them the number of the bit. No
-    segment may reach over two numbers or have over 22 bits."""
+    segment may reach over two numbers or have over 22 bits. With `whole` only each segment as it is, under its first bit."""
     keys = []
     for k in range(len(cuts) - 1):
         name, lo, n = names[cuts[k] // 64], cuts[k] % 64, cuts[k + 1] - cuts[k]
         part = f"(shiftrightunsigned({name}, {lo}) & {(1 << n) - 1}L)"
-        keys += [f"cast({(cuts[k] + j) << 22}L | ({part} & {((1 << n) - 1) & ~(1 << j)}L) as int)" for j in range(n)]
+        keys += [f"cast({(cuts[k] + j) << 22}L | ({part} & {(1 << n) - 1 if whole else ((1 << n) - 1) & ~(1 << j)}L) as int)" for j in range(1 if whole else n)]
     return classes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), *names, *extra)
 
 
-def first_key(x: np.ndarray, cuts: tuple = CUTS) -> np.ndarray:
+def first_key(x: np.ndarray, cuts: tuple = CUTS, whole: bool = False) -> np.ndarray:
     """The bit whose key is the first that two fingerprints with difference x (rows of 64-bit numbers) share; cuts[-1] if none."""
     out = np.full(len(x), cuts[-1], np.int64)
     for lo, hi in reversed(list(zip(cuts, cuts[1:]))):
         part = (x[:, lo // 64] >> np.uint64(lo % 64)) & np.uint64((1 << (hi - lo)) - 1)
         n = np.bitwise_count(part)
         out[n == 0] = lo
+        if whole:
+            continue
         one = n == 1
         out[one] = lo + np.bitwise_count(part[one] - np.uint64(1))
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, p, bits: int, cuts: tuple = CUTS) -> np.ndarray:
+def linked(a: np.ndarray, b: np.ndarray, p, bits: int, cuts: tuple = CUTS, whole: bool = False) -> np.ndarray:
     """Verified links whose first common key is the one at hand, so that a link is found once."""
     x = a ^ b
     ok = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= bits
-    ok[ok] = first_key(x[ok], cuts) == (p[ok] if isinstance(p, np.ndarray) else p)
+    ok[ok] = first_key(x[ok], cuts, whole) == (p[ok] if isinstance(p, np.ndarray) else p)
     return ok
 
 
-def forest(fps: np.ndarray, p: int, bits: int, cuts: tuple = CUTS) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, p: int, bits: int, cuts: tuple = CUTS, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Positions of edges that connect a group as all its links would: each one reached is compared with those not yet reached."""
     left, us, vs = np.arange(len(fps)), [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             f = front.pop()
-            ok = linked(fps[left], fps[f][None, :], p, bits, cuts)
+            ok = linked(fps[left], fps[f][None, :], p, bits, cuts, whole)
             if ok.any():
                 got = left[ok]
                 us.append(np.full(len(got), f))
@@ -148,7 +150,7 @@ def forest(fps: np.ndarray, p: int, bits: int, cuts: tuple = CUTS) -> tuple[np.n
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def neighbours(value: np.ndarray, fps: np.ndarray, p, bits: int, cuts: tuple, group: int):
+def neighbours(value: np.ndarray, fps: np.ndarray, p, bits: int, cuts: tuple, group: int, whole: bool = False):
     """Edges among positions of equal value (sorted): all links of small runs, a forest of each large one."""
     begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     size = np.diff(np.append(begin, len(value)))
@@ -158,13 +160,13 @@ def neighbours(value: np.ndarray, fps: np.ndarray, p, bits: int, cuts: tuple, gr
         at = np.flatnonzero(sv[step:] == sv[:-step])
         if not len(at):
             break
-        ok = linked(fps[few[at]], fps[few[at + step]], sp[at] if isinstance(sp, np.ndarray) else sp, bits, cuts)
+        ok = linked(fps[few[at]], fps[few[at + step]], sp[at] if isinstance(sp, np.ndarray) else sp, bits, cuts, whole)
         yield few[at[ok]], few[at[ok] + step]
     for at, n in zip(begin[size > group], size[size > group]):
         yield at, n
 
 
-def edges_of(keys: np.ndarray, fps: np.ndarray, bits: int, cuts: tuple = CUTS, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+def edges_of(keys: np.ndarray, fps: np.ndarray, bits: int, cuts: tuple = CUTS, group: int = GROUP, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Positions of edges among fingerprints with sorted keys."""
     us, vs = [], []
 
@@ -172,7 +174,7 @@ def edges_of(keys: np.ndarray, fps: np.ndarray, bits: int, cuts: tuple = CUTS, g
         us.append(u)
         vs.append(v)
 
-    for a, b in neighbours(keys, fps, keys.astype(np.int64) >> 22, bits, cuts, group):
+    for a, b in neighbours(keys, fps, keys.astype(np.int64) >> 22, bits, cuts, group, whole):
         if isinstance(a, np.ndarray):
             add(a, b)
             continue
@@ -187,23 +189,25 @@ def edges_of(keys: np.ndarray, fps: np.ndarray, bits: int, cuts: tuple = CUTS, g
             for i in piece:
                 value = (value << np.uint64(1)) | ((own[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))
             order = np.argsort(value, kind="stable")
-            for u, v in neighbours(value[order], own[order], p, bits, cuts, group):
+            for u, v in neighbours(value[order], own[order], p, bits, cuts, group, whole):
                 if not isinstance(u, np.ndarray):
-                    first, second = forest(own[order[u : u + v]], p, bits, cuts)
+                    first, second = forest(own[order[u : u + v]], p, bits, cuts, whole)
                     u, v = u + first, u + second
                 add(a + order[u], a + order[v])
     none = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def links(classes: DataFrame, bits: int = BITS, names: tuple = ("fp",), cuts: tuple = CUTS, node: str = "fp") -> DataFrame:
-    """(u, v): links of distinct fingerprints, named by node; in a large group of one key, enough of them to keep it connected."""
+def links(classes: DataFrame, bits: int = BITS, names: tuple = ("fp",), cuts: tuple = CUTS, node: str = "fp", whole: bool = False, done: str | None = None) -> DataFrame:
+    """(u, v): links of distinct fingerprints, named by node; in a large group of one key, enough of them to keep it connected. With
+    `whole` only links of a common segment; with `done`, a column of 0 and 1, only links of which u has 0."""
     if cuts == CUTS and not 0 <= bits <= 4:
         raise ValueError("three segments with one bit taken out find differences of up to 5 bits; the operator promises 4")
     n = classes.count()
-    extra = () if node in names else (node,)
-    keys = keys_of(classes, list(names), cuts, extra)
-    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cuts[-1] * n // PART_ROWS))
+    extra = (() if node in names else (node,)) + ((done,) if done else ())
+    named, each = (*names, *extra).index(node), len(cuts) - 1 if whole else cuts[-1]
+    keys = keys_of(classes, list(names), cuts, extra, whole)
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-each * n // PART_ROWS))
     keys = keys.repartition(parts, "key").sortWithinPartitions("key")
 
     def run(batches):
@@ -225,9 +229,20 @@ def links(classes: DataFrame, bits: int = BITS, names: tuple = ("fp",), cuts: tu
     def found(held):
         if sum(len(k) for k, _ in held) > 1:
             k, rows = (np.concatenate(x) for x in zip(*held))
-            u, v = edges_of(k, np.ascontiguousarray(rows[:, : len(names)]), bits, cuts)
+            if done:
+                begin, size = grouped_by(k)
+                some = np.repeat(np.minimum.reduceat(rows[:, -1], begin) == 0, size)
+                k, rows = k[some], rows[some]
+            if not len(k):
+                return
+            u, v = edges_of(k, np.ascontiguousarray(rows[:, : len(names)]), bits, cuts, whole=whole)
+            name = rows[:, named].view(np.int64)
+            if done:
+                settled = rows[:, -1] != 0
+                turn = settled[u] | ~settled[v] & (name[u] < name[v])
+                u, v = np.where(turn, v, u), np.where(turn, u, v)
+                u, v = u[~settled[u]], v[~settled[u]]
             if len(u):
-                name = rows[:, -1].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[v])], names=["u", "v"])
 
     return keys.mapInArrow(run, "u long, v long")
@@ -412,6 +427,19 @@ def apart(entries: DataFrame, info: DataFrame, roots: DataFrame, low: int, high:
     return full.mapInArrow(run, "u long, v long, h long, id long, n int, pos int")
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """(u, v): one candidate by SimHash, v, of each class u that has any. In a group of near copies each of 128 keys connects all of
+    them, so those that share a whole segment (eight keys) come first, and the others are asked only for whom that leaves alone."""
+    wide = (WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
+    near = links(classes, *wide, whole=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    near = common.written(near.groupBy("u").agg(F.min("v").alias("v")))
+    marked = classes.select("id", "f0", "f1").join(near.select(F.col("u").alias("id"), F.lit(1).cast("long").alias("one")).hint("merge"), "id", "left")
+    marked = common.written(marked.select("id", "f0", "f1", F.coalesce("one", F.lit(0).cast("long")).alias("done")))
+    todo = common.written(near.unionAll(links(marked, *wide, done="done").groupBy("u").agg(F.min("v").alias("v"))))
+    common.removed(near, marked)
+    return todo
+
+
 def copies(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """(node, root) by links of similarity `least` or more, of classes as signatures gives them, once for each text; removes classes.
 
@@ -426,8 +454,7 @@ def copies(classes: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     left = common.written(partnered(sized.join(bits(sized).hint("merge"), "id"), least, sized.count(), ROUND_ROWS))
     info = common.written(bits(left))
     common.removed(sized)
-    todo = links(classes, WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
-    todo = common.written(todo.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u").agg(F.min("v").alias("v")))
+    todo = candidates(classes)
     common.removed(classes)
     ids = todo.select(F.explode(F.array("u", "v")).alias("id")).unionAll(left.select("id")).distinct()
     sets = common.written(shingle_sets(ids, texts, shingle))

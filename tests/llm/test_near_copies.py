@@ -75,3 +75,26 @@ def test_bounds_lose_no_pair():
     shared = lambda a, b: len(np.intersect1d(a, b))
     alike = {(i, j) for j in range(len(sets)) for i in range(j) if shared(sets[i], sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - shared(sets[i], sets[j]))}
     assert len(alike) > 20 and alike <= found
+
+
+def test_candidates_of_a_large_group(spark):
+    """Each class that has a candidate gets one, and a group of near copies does not make some hundred rows for each member."""
+    import random
+
+    import numpy as np
+    from rasterloom.llm import simhash
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64), rng.getrandbits(64)]
+    near = lambda n: [b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base]
+    fps = [near(rng.randrange(4)) for _ in range(400)] + [near(12) for _ in range(40)] + [[rng.getrandbits(64), rng.getrandbits(64)] for _ in range(100)]
+    rows = [(i, *np.array(f, np.uint64).view(np.int64).tolist()) for i, f in enumerate(fps)]
+    classes = spark.createDataFrame(rows, "id long, f0 long, f1 long")
+    wide = (simhash.WIDE_BITS, ("f0", "f1"), simhash.WIDE_CUTS, "id")
+    full = simhash.links(classes, *wide).collect()
+    got = simhash.candidates(classes).collect()
+    own = [r["u"] for r in got]
+    assert len(own) == len(set(own)) and {max(r) for r in full} <= set(own)
+    assert all(bin(fps[r["u"]][0] ^ fps[r["v"]][0]).count("1") + bin(fps[r["u"]][1] ^ fps[r["v"]][1]).count("1") <= simhash.WIDE_BITS for r in got)
+    marked = classes.selectExpr("id", "f0", "f1", "cast(id > 0 as long) as done")
+    assert len(simhash.links(marked, *wide, done="done").collect()) < 2 * len(fps) < len(full)
