@@ -431,11 +431,11 @@ def candidates(classes: DataFrame) -> DataFrame:
     """(u, v): one candidate by SimHash, v, of each class u that has any. In a group of near copies each of 128 keys connects all of
     them, so those that share a whole segment (eight keys) come first, and the others are asked only for whom that leaves alone."""
     wide = (WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
-    near = links(classes, *wide, whole=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    near = links(classes, *wide, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     near = common.written(near.groupBy("u").agg(F.min("v").alias("v")))
     marked = classes.select("id", "f0", "f1").join(near.select(F.col("u").alias("id"), F.lit(1).cast("long").alias("one")).hint("merge"), "id", "left")
     marked = common.written(marked.select("id", "f0", "f1", F.coalesce("one", F.lit(0).cast("long")).alias("done")))
-    todo = common.written(near.unionAll(links(marked, *wide, done="done").groupBy("u").agg(F.min("v").alias("v"))))
+    todo = common.written(near.unionAll(links(marked, *wide, False, "done").groupBy("u").agg(F.min("v").alias("v"))))
     common.removed(near, marked)
     return todo
 
