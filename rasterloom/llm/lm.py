@@ -155,9 +155,9 @@ def sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def totals(asked: DataFrame, blocks: int, buckets: list[int]) -> DataFrame:
-    """Answers to what `blocks` blocks ask of the first of several finer and finer numbers of buckets, each a multiple of the one before."""
+    """Answers, written, to what `blocks` blocks ask of the first of several finer and finer numbers of buckets, each a multiple of the one before."""
     if len(buckets) == 1:
-        return answered(asked)
+        return common.written(answered(asked))
     groups, finer = max(1, -(-blocks // FAN)), buckets[1]
     asked = common.written(asked.withColumn("src", F.concat_ws("/", F.pmod(F.xxhash64("block"), F.lit(groups)), "bucket")))
 
@@ -177,17 +177,19 @@ def totals(asked: DataFrame, blocks: int, buckets: list[int]) -> DataFrame:
         return pd.DataFrame({"block": own["block"].to_numpy(), "bucket": own["bucket"].to_numpy(), "order": own["order"].to_numpy(), "totals": [packed(total[np.searchsorted(every, k)]) for k in keys], "v": v})
 
     on = asked.groupBy("src", "order").applyInPandas(ask, "block string, bucket int, order int, keys binary, counts binary")
-    got = common.written(totals(on, groups, buckets[1:]).withColumnRenamed("block", "src"))
-    return asked.groupBy("src", "order").cogroup(got.groupBy("src", "order")).applyInPandas(answer, "block string, bucket int, order int, totals binary, v long")
+    got = totals(on, groups, buckets[1:])
+    both = asked.groupBy("src", "order").cogroup(got.withColumnRenamed("block", "src").groupBy("src", "order"))
+    out = common.written(both.applyInPandas(answer, "block string, bucket int, order int, totals binary, v long"))
+    common.removed(asked, got)
+    return out
 
 
 def levels(buckets: int) -> list[int]:
-    """Numbers of buckets from the coarsest level to the finest."""
-    out = [buckets]
-    while out[0] > FAN:
-        out.insert(0, -(-out[0] // FAN))
-    for k in range(1, len(out)):
-        out[k] = out[k - 1] * FAN
+    """Numbers of buckets from the coarsest level to the finest. What FAN blocks ask of one of FAN buckets is as much as one block
+    asks of all, so every level but the last has as many as a block may ask."""
+    out = [min(buckets, FAN)]
+    while out[-1] < buckets:
+        out.append(out[-1] * min(FAN, -(-buckets // out[-1])))
     return out
 
 
@@ -277,7 +279,7 @@ def scores(docs: DataFrame, held: Column) -> DataFrame:
     blocks = common.written(encode(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))))
     size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     n, buckets = size["train"], levels(max(1, -(-size["n"] // BUCKET_TOKENS)))
-    answers = common.written(totals(asked(blocks, buckets[0]), size["blocks"], buckets))  # the messages to the buckets go before the blocks move
+    answers = totals(asked(blocks, buckets[0]), size["blocks"], buckets)  # the messages to the buckets go before the blocks move
     counts = common.written(counted(blocks, answers))
     common.removed(answers, blocks)
     v = counts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()["v"]

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -49,6 +50,23 @@ def test_query(spark, rows, sf_dir, monkeypatch, fan):
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
 
 
+def test_merged_asks_are_no_larger_than_one_block():
+    """FAN blocks' tokens over a level's buckets, FAN of those merged over the next's, are at most a block's; only the last level may be finer."""
+    for n in (1, lm.FAN, lm.FAN + 1, lm.FAN + 27, 6 * lm.FAN + 1, lm.FAN**2 + 1):
+        out = lm.levels(n)
+        assert out[-1] >= n and all(b % a == 0 and b <= a * lm.FAN for a, b in zip(out, out[1:]))
+        assert all(a >= lm.FAN ** (k + 1) for k, a in enumerate(out[:-1]))
+
+
+def test_tables_of_levels_go(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 3000)
+    monkeypatch.setattr(lm, "FAN", 2)
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    lm.query(spark, sf_dir)
+    assert len(set(folder.iterdir()) - before) == 1  # the counted blocks, which the result reads
+
+
 def test_words_with_equal_polynomial_hashes(spark):
     a, b = twins()
     docs = spark.createDataFrame([(1, a), (2, b), (3, "x" * 3_000_000)], "doc_id long, text string")
