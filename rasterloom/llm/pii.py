@@ -275,7 +275,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -
             picks.append((r["order"], r["bytes"]))
     if not picks:
         return []
-    taken = F.broadcast(docs.sparkSession.createDataFrame(picks, "order long, bytes int"))
+    order, sizes = zip(*picks)
+    taken = F.broadcast(common.local(docs.sparkSession, order=(order, pa.int64()), bytes=(sizes, pa.int32())))
     own = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("order"), F.octet_length("text").alias("bytes"))
     return [r["text"] for r in own.join(taken, ["order", "bytes"], "left_semi").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
 

@@ -204,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
                 left -= r["bytes"]
                 picks.append((r["order"], r["bytes"]))
         if picks:
-            taken = docs.sparkSession.createDataFrame(sorted(set(picks)), "order long, bytes int")
+            order, sizes = zip(*sorted(set(picks)))
+            taken = common.local(docs.sparkSession, order=(order, pa.int64()), bytes=(sizes, pa.int32()))
             got = [r["text"] for r in own.join(F.broadcast(taken), ["order", "bytes"], "left_semi").orderBy("order", "text").limit(len(picks)).collect()]
             texts += got
             marks += [label] * len(got)
