@@ -91,3 +91,28 @@ def test_damage_gives_an_error_row_and_nothing_else(spark):
     assert {r.path: r["max(error)"] for r in got if r.path in ("palette", "transform")} == {"palette": "unknown palette", "transform": "truncated"}
     optimised = rewrite.optimize(files).collect()
     assert len(optimised) == len(rows) and any(r.error for r in optimised) and any(r.after for r in optimised)
+
+
+def test_a_scene_painted_step_by_step_is_the_scene_painted_anew():
+    rng = np.random.default_rng(5)
+    objects = [(c.FILL, [1, 5, 4, 77], b""), (c.RASTER, [2, 6, 3], bytes(range(18))), (c.INDEX, [3, 4, 4], bytes(k % 3 for k in range(16)))]
+    scene, ops = decode.Scene(16, 12), []
+    made = [(c.PALETTE, [1], b"\x05\x06\x07"), *objects]
+    for x in made:
+        scene.declare(*x)
+    xy = lambda: rng.integers(-3, 14, 2).tolist()
+    for k in range(300):
+        iid, oid = int(rng.integers(1, 12)), int(rng.integers(1, 4))
+        new = [(0x21, [iid, oid, *xy()], b""), (0x2F, [iid, 1], b"")]
+        known = [(0x22, [iid, *xy()], b""), (0x26, [iid, 1, -1], b""), (0x27, [], b""), (0x30, [iid, 200, 30, 5, 10, 256, 0], b"")] if iid in scene.instances else []
+        other = [(0x23, [3, 4, 9, 15, 11, 200], b""), (0x29, [], b""), (0x2E, [1, 0, k % 256], b""), *([(0x28, [], b"")] if k % 40 == 0 else [])]
+        one = [new, [[*known, *other][int(rng.integers(len(known) + len(other)))]]][k % 2]
+        for x in one:
+            scene.apply(*x)
+        ops += one
+        anew = decode.Scene(16, 12)
+        for x in made:
+            anew.declare(*x)
+        for x in ops:
+            anew.apply(*x)
+        assert (scene.painted() == anew.painted()).all()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from rasterloom.operators import compare
 from rasterloom.plans import movies
-from rasterloom.sources import encode
+from rasterloom.sources import decode, encode
 
 
 @pytest.mark.parametrize("kind", range(len(movies.KINDS)))
@@ -49,3 +49,18 @@ def test_wraps(size):
     for before, after in ((a, a), (a, np.roll(a, (1, 2), (0, 1))), (a, np.roll(a, 3, 1)), (a * 0, a * 0), (a // 2, np.roll(a // 2, 1, 0)), (a, 2 - a)):
         want = [(dx, dy) for dx in range(w) for dy in range(h) if (dx or dy) and (both or not (dx and dy)) and (np.roll(before, (dy, dx), (0, 1)) == after).all()]
         assert sorted(compare.wraps(before, after)) == want
+
+
+def test_instances_that_add_up_are_painted_once(monkeypatch):
+    # each frame is a new instance over all the others; painting all of them for each frame grows with the square of the frames
+    seen, plain = [], decode.Scene.samples
+    monkeypatch.setattr(decode.Scene, "samples", lambda self, iid, oid: seen.append(1) or plain(self, iid, oid))
+
+    def painted(n):
+        seen.clear()
+        frames = list(np.random.default_rng(3).integers(90, 160, (n, 8, 8)).astype(np.uint8))
+        _, best = encode.swept(frames)
+        assert {d.family for d in best.decisions} == {"regions"} and len(best.scene.instances) == n
+        return len(seen)
+
+    assert painted(80) < 2.5 * painted(40)
