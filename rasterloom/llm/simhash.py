@@ -9,18 +9,19 @@ is first split by the bits outside the key's segment, cut into one piece more th
 still large is searched from what is reached to what is left. Pairs are never listed.
 
 `near_copies` is exact too, by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are
-linked. SimHash of 128 bits in eight segments finds most groups: each class is verified with one candidate. It would miss a
-pair of similarity s whose bits differ too much (each does with probability acos(2s / (1 + s)) / pi), and what connects candidates
+linked. SimHash of 128 bits in eight segments finds most groups: each class is verified with one candidate that shares a
+whole segment. It would miss a pair of similarity s whose bits differ too much (each does with probability acos(2s / (1 + s)) / pi), and what connects candidates
 doesn't connect links, so an exact search follows: of two similar sets each has one of the other's among the first fifth of its
 shingles in any common order (a prefix). Members of a shingle's group that are not connected yet are held against each other by
 bounds on their overlap (sizes, places in the prefix, parities of SKETCH bits), and what these allow is verified on the whole sets.
 The order puts shingles that a sample has often last; it decides what the search costs, never what it finds.
 
-Fingerprint: a bit is 1 if more than half of the XXH64 values (seed 42) of the word shingles have it; the second 64 bits come
-from a bijection of those values. Defined results: a text without words (null, empty) has fingerprint zero, no shingles and
-links to its like; a text of fewer words than a shingle is one shingle; equal texts are one class, so that copies are never
-paired; a null doc_id is never the smallest of others; an empty table has no groups; other columns of docs are carried along by
-`deduplicated`, whatever their names (names that begin with two underscores are the operator's).
+Fingerprint: a bit is 1 if more than half of the XXH64 values (seed 42) of the word shingles have it. `near_copies` takes hashes
+of its own instead (`hashes`, much faster); its second 64 bits come from a bijection of them. Defined results: a text without words
+(null, empty) has fingerprint zero, no shingles and links to its like; a text of fewer words than a shingle is one shingle; equal
+texts are one class, so that copies are never paired; a null doc_id is never the smallest of others; an empty table has no groups;
+other columns of docs are carried along by `deduplicated`, whatever their names (names that begin with two underscores are the
+operator's).
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ PART_ROWS, LEAST_PIECE = 2_000_000, 6
 WORDS, SIMILAR, WIDE_BITS, WIDE, WIDE_CUTS = 5, 0.8, 30, 2, tuple(range(0, 129, 16))
 #: Parities of a set, a multiple of 64; texts and shingles of the sample that orders shingles; entries of one partition of a round.
 SKETCH, SAMPLE, OFTEN, ROUND_ROWS = 1024, 20_000, 1 << 16, 500_000
+#: Rows of whole groups that are held against each other at once, about; a factor of hashes of words.
+AT_ONCE, ODD = 1 << 14, np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(words: list[bytes], shingle: int) -> np.ndarray:
@@ -261,12 +264,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return found.join(by_class, "fp").select("doc_id", "tkey", "fp", F.col("first.doc_id").alias("component_id"), (F.col("first") == me).alias("kept"))
 
 
+def hashes(column, shingle: int) -> list[np.ndarray]:
+    """64-bit hashes of the shingles of each row of a column of text, repeats included, by whole slices. Not XXH64: near_copies only
+    asks which shingles are equal."""
+    data, ends = common.bytes_of(column)
+    starts, stops, first = common.words_of(data, ends)
+    h, n = common.WordHash(lower=True)(data, starts, stops), np.diff(first)
+    out, acc = [np.zeros(0, np.uint64)] * len(n), h
+    for k in range(1, shingle):  # a row of fewer words is one shingle
+        for row in np.flatnonzero(n == k).tolist():
+            out[row] = common.mixed(acc[first[row] : first[row] + 1])
+        acc = acc[:-1] * ODD + h[k:]
+    acc = common.mixed(acc)
+    for row in np.flatnonzero(n >= shingle).tolist():
+        out[row] = acc[first[row] : first[row + 1] - shingle + 1]
+    return out
+
+
 def shingle_sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(id, h): the distinct shingles of the texts (id, text) that ids asks for."""
 
     def run(batches):
         for batch in common.sliced(batches):
-            sets = [np.unique(shingles(lowered(t), shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(h).view(np.int64) for h in hashes(batch.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h"])
 
     # by shuffles at every size: nothing that grows with the table is broadcast
@@ -287,7 +307,7 @@ def frequent(texts: DataFrame, shingle: int) -> np.ndarray:
 
     def run(batches):
         for batch in common.sliced(batches):
-            sets = [np.unique(shingles(lowered(t), shingle)) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(h) for h in hashes(batch.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     some = texts.filter(F.pmod("id", F.lit(each)) == 0).dropDuplicates(["id"]).select("text").mapInArrow(run, "h long")
@@ -312,7 +332,7 @@ def signatures(texts: DataFrame, often: np.ndarray, shingle: int, least: float)
 
     def run(batches):
         for batch in common.sliced(batches):
-            rows = [shingles(lowered(t), shingle) for t in batch.column("text").to_pylist()]
+            rows = hashes(batch.column("text"), shingle)
             fps = [[majority(common.mixed(h ^ np.uint64(k)) if k else h) for h in rows] for k in range(WIDE)]
             sets = [np.unique(h) for h in rows]
             bits = [np.packbits(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes() for h in sets]
@@ -353,6 +373,27 @@ def grouped_by(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(h)))
 
 
+def shared_groups(batches):
+    """Tables of whole groups of one h, by h, n and id, of all rows of a partition in any order. Most shingles are in one text alone:
+    they go before anything but their h is sorted."""
+    held = list(batches)
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    h = t.column("h").to_numpy()
+    order = np.argsort(h)
+    size = grouped_by(h[order])[1] if len(h) else np.zeros(0, np.int64)
+    t = t.take(pa.array(order[np.repeat(size, size) > 1]))
+    del held, h, order, size
+    t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("id", "n", "h")])))
+    h = t.column("h").to_numpy()
+    lo = 0
+    while lo < len(h):
+        hi = int(np.searchsorted(h, h[min(len(h), lo + AT_ONCE) - 1], "right"))
+        yield t.slice(lo, hi - lo)
+        lo = hi
+
+
 def fitting(h, n, pos, bits, least: float, low: int = 1, high: int | None = None, skip=None):
     """Pairs of places in the same group, from low to below high apart, that may have the similarity. Rows are sorted by h, then n;
     bits (or None) are rows of 64-bit numbers; skip tells which pairs need no look."""
@@ -386,14 +427,14 @@ def partnered(entries: DataFrame, least: float, n_rows: int, per: int) -> DataFr
     parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // per))
 
     def run(batches):
-        for t in whole_groups(batches):
+        for t in shared_groups(batches):
             h, _, n, pos, bits = columns(t)
             keep = np.zeros(len(h), bool)
             for i, j in fitting(h, n, pos, bits, least, skip=lambda i, j, keep=keep: keep[i] & keep[j]):
                 keep[i] = keep[j] = True
             yield from t.select(["h", "id", "n", "pos"]).filter(pa.array(keep)).to_batches()
 
-    return entries.repartition(parts, "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "h long, id long, n int, pos int")
+    return entries.repartition(parts, "h").mapInArrow(run, "h long, id long, n int, pos int")
 
 
 def apart(entries: DataFrame, info: DataFrame, roots: DataFrame, low: int, high: int, least: float) -> DataFrame:
@@ -427,12 +468,15 @@ def apart(entries: DataFrame, info: DataFrame, roots: DataFrame, low: int, high:
     return full.mapInArrow(run, "u long, v long, h long, id long, n int, pos int")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, whole: bool = False) -> DataFrame:
     """(u, v): one candidate by SimHash, v, of each class u that has any. In a group of near copies each of 128 keys connects all of
-    them, so those that share a whole segment (eight keys) come first, and the others are asked only for whom that leaves alone."""
+    them, so those that share a whole segment (eight keys) come first, and the others are asked only for whom that leaves alone; with
+    `whole` the others are not asked."""
     wide = (WIDE_BITS, ("f0", "f1"), WIDE_CUTS, "id")
     near = links(classes, *wide, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     near = common.written(near.groupBy("u").agg(F.min("v").alias("v")))
+    if whole:
+        return near
     marked = classes.select("id", "f0", "f1").join(near.select(F.col("u").alias("id"), F.lit(1).cast("long").alias("one")).hint("merge"), "id", "left")
     marked = common.written(marked.select("id", "f0", "f1", F.coalesce("one", F.lit(0).cast("long")).alias("done")))
     todo = common.written(near.unionAll(links(marked, *wide, False, "done").groupBy("u").agg(F.min("v").alias("v"))))
@@ -454,7 +498,8 @@ def copies(classes: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     left = common.written(partnered(sized.join(bits(sized).hint("merge"), "id"), least, sized.count(), ROUND_ROWS))
     info = common.written(bits(left))
     common.removed(sized)
-    todo = candidates(classes)
+    # 120 more keys for each class would cost more than the search below takes for the pairs that only they find
+    todo = candidates(classes, whole=True)
     common.removed(classes)
     ids = todo.select(F.explode(F.array("u", "v")).alias("id")).unionAll(left.select("id")).distinct()
     sets = common.written(shingle_sets(ids, texts, shingle))

@@ -98,3 +98,44 @@ def test_candidates_of_a_large_group(spark):
     assert all(bin(fps[r["u"]][0] ^ fps[r["v"]][0]).count("1") + bin(fps[r["u"]][1] ^ fps[r["v"]][1]).count("1") <= simhash.WIDE_BITS for r in got)
     marked = classes.selectExpr("id", "f0", "f1", "cast(id > 0 as long) as done")
     assert len(simhash.links(marked, *wide, done="done").collect()) < 2 * len(fps) < len(full)
+
+
+def test_near_copies_asks_for_no_keys_of_single_bits(spark, monkeypatch):
+    """The exact search finds what only they find; they were 120 of 128 keys of each class."""
+    asked, plain = [], simhash.keys_of
+    monkeypatch.setattr(simhash, "keys_of", lambda *a: asked.append(a[-1]) or plain(*a))
+    docs = [(k, " ".join(f"w{i}" for i in range(60) if i != k % 7)) for k in range(20)]
+    got = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and asked == [True]
+
+
+def test_hashes_are_equal_where_shingles_are():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["a", "B", "b", "cc", "Ä", "x" * 70], k=n)) for n in [*range(9)] * 30] + [None, " a\t\nb ", "A b", "a"]
+    got = simhash.hashes(pa.array(texts), 5)
+    named = {}
+    for t, h in zip(texts, got):
+        want = simhash.shingles(simhash.lowered(t), 5)
+        assert len(h) == len(want)
+        for x, y in zip(want.tolist(), h.tolist()):
+            assert named.setdefault(x, y) == y
+    assert len(set(named.values())) == len(named) > 300
+
+
+def test_shared_groups_are_whole_and_leave_out_what_is_alone(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "AT_ONCE", 7)
+    rng = np.random.default_rng(2)
+    h = np.concatenate([rng.integers(-50, 50, 100), np.full(30, 3), [999]])
+    cols = {"h": h, "id": rng.permutation(len(h)), "n": rng.integers(1, 9, len(h)), "pos": np.zeros(len(h), np.int64)}
+    batches = pa.table(cols).to_batches(max_chunksize=10)
+    tables = list(simhash.shared_groups(iter(batches)))
+    rows = [tuple(r[c] for c in ("h", "n", "id")) for t in tables for r in t.to_pylist()]
+    own = h.tolist()
+    assert rows == sorted((a, c, b) for a, b, c in zip(own, cols["id"].tolist(), cols["n"].tolist()) if own.count(a) > 1)
+    firsts = [set(t.column("h").to_pylist()) for t in tables]
+    assert len(tables) > 3 and sum(map(len, firsts)) == len(set().union(*firsts))
+    assert list(simhash.shared_groups(iter([]))) == []
